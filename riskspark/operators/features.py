@@ -66,6 +66,39 @@ def fit_indexers(train: DataFrame, cols: list[str], handle_invalid: str = "error
     return model
 
 
+# Bound on label classes whose names are collected to the driver.
+MAX_CLASSES = 10_000
+
+
+def fit_encoders(train: DataFrame, cols: list[str], label: str | None = None,
+                 handle_invalid: str = "error", max_bins: int | None = DEFAULT_MAX_BINS,
+                 max_classes: int = MAX_CLASSES) -> StringIndexerModel:
+    """E1 + E2 in one fit job: the categorical feature columns and the label
+    share one multi-column StringIndexer.  Arity is checked first with
+    HyperLogLog counts (features against ``max_bins``, the label against
+    ``max_classes``), so no unbounded label list reaches the driver."""
+    inputs = list(cols) + ([label] if label else [])
+    rsd = 0.02
+    row = train.agg(*[F.approx_count_distinct(c, rsd).alias(f"d{i}") for i, c in enumerate(inputs)]).first()
+    extra = 1 if handle_invalid == "keep" else 0
+    limits = {c: max_bins for c in cols if max_bins is not None}
+    if label:
+        limits[label] = max_classes
+    bad = {c: int(row[f"d{i}"]) for i, c in enumerate(inputs)
+           if c in limits and int(row[f"d{i}"]) + extra > limits[c] * (1.0 + 3 * rsd)}
+    if bad:
+        raise ArityError(f"too many distinct values (limits {limits}): {bad}")
+    model = StringIndexer(inputCols=inputs, outputCols=[indexed_name(c) for c in inputs],
+                          handleInvalid=handle_invalid, stringOrderType="frequencyDesc").fit(train)
+    if max_bins is not None:
+        extra = 1 if handle_invalid == "keep" else 0
+        bad = {c: len(labels) + extra for c, labels in zip(cols, model.labelsArray)
+               if len(labels) + extra > max_bins}
+        if bad:
+            raise ArityError(f"categorical columns exceed max_bins={max_bins}: {bad}")
+    return model
+
+
 def fit_label_indexer(train: DataFrame, label: str, out: str | None = None,
                       handle_invalid: str = "error") -> StringIndexerModel:
     """Label encoding; numeric labels are encoded by their text form."""

@@ -7,9 +7,9 @@ label index fitted on train -> feature list -> vectors.  Then
 importances) and ``clustering_report`` (scale on train, K-Means on
 train + test, PCA, centres, chart tables).
 
-The assembled train and test tables are persisted (MEMORY_AND_DISK) because
-every model fit and evaluation reads them again; ``Prepared.release()``
-frees them.  Lost cached blocks are recomputed from the parquet lineage,
+The assembled table (train and test together, told apart by a 'split'
+column) is persisted once (MEMORY_AND_DISK) because every model fit and
+evaluation reads it again; ``Prepared.release()`` frees it.  Lost cached blocks are recomputed from the parquet lineage,
 which is short (scan -> one projection -> encoders -> assembler).
 """
 
@@ -26,7 +26,7 @@ from riskspark.functions.columns import string_columns
 from riskspark.operators import chartdata, cluster, evaluate, features, models
 from riskspark.operators.clean import CleaningModel, fit_cleaning
 from riskspark.operators.profile import group_counts
-from riskspark.operators.split import hash_split, spread, union_parts
+from riskspark.operators.split import ensure_parallel, spread, union_parts, with_split
 from riskspark.roles import Roles
 
 
@@ -34,45 +34,43 @@ from riskspark.roles import Roles
 class Prepared:
     roles: Roles
     cleaning: CleaningModel | None
+    data: DataFrame              # whole assembled table with a 'split' column
     train: DataFrame
     test: DataFrame
     feature_names: list[str]
     label_index: str
-    indexers: StringIndexerModel | None
-    label_indexer: StringIndexerModel
+    encoders: StringIndexerModel
     encoded: list[str] = field(default_factory=list)
 
     def release(self) -> None:
-        self.train.unpersist()
-        self.test.unpersist()
+        self.data.unpersist()
 
 
 def prepare(df: DataFrame, roles: Roles, fraction: float = 0.8, split_key: str | list[str] | None = None,
             clean: bool = True, handle_invalid: str = "error", max_bins: int = features.DEFAULT_MAX_BINS,
             feature_types: list[str] | None = None, duplicate_indexed: bool = False,
             exclude: tuple[str, ...] = (), quantile_method: str = "exact", persist: bool = True) -> Prepared:
+    """Clean, split, encode and assemble.  The assembled table is computed
+    once, with a 'split' column, and cached; train and test are filters on it."""
     cleaning = fit_cleaning(df, roles, quantile_method=quantile_method) if clean else None
     cleaned = cleaning.transform(df) if cleaning else df
-    train, test = hash_split(cleaned, split_key if split_key is not None else roles.id, fraction)
-
     skip = set(roles.named()) | set(roles.passthrough) | set(exclude)
     encoded = string_columns(cleaned, exclude=skip)
-    indexers = features.fit_indexers(train, encoded, handle_invalid, max_bins)
-    if indexers is not None:
-        train, test = indexers.transform(train), indexers.transform(test)
-    label_index = features.indexed_name(roles.label)
-    label_indexer = features.fit_label_indexer(train, roles.label, label_index, handle_invalid)
-    train, test = label_indexer.transform(train), label_indexer.transform(test)
 
+    marked = with_split(cleaned, split_key if split_key is not None else roles.id, fraction)
+    is_train = F.col("split") == "train"
+    encoders = features.fit_encoders(marked.where(is_train), encoded, roles.label, handle_invalid, max_bins)
+    coded = encoders.transform(marked)
+
+    label_index = features.indexed_name(roles.label)
     indexed = [features.indexed_name(c) for c in encoded]
-    names = features.feature_columns(train, indexed, exclude=skip | {label_index},
+    names = features.feature_columns(coded, indexed, exclude=skip | {label_index, "split"},
                                      feature_types=feature_types, duplicate_indexed=duplicate_indexed)
-    train = features.assemble(train, names)
-    test = features.assemble(test, names)
+    data = features.assemble(coded, names)
     if persist:
-        train = train.persist(StorageLevel.MEMORY_AND_DISK)
-        test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    return Prepared(roles, cleaning, train, test, names, label_index, indexers, label_indexer, encoded)
+        data = ensure_parallel(data).persist(StorageLevel.MEMORY_AND_DISK)
+    return Prepared(roles, cleaning, data, data.where(is_train), data.where(~is_train), names,
+                    label_index, encoders, encoded)
 
 
 def multiclass_report(prep: Prepared, params: models.ForestParams = models.ForestParams(),
