@@ -202,9 +202,16 @@ def fit_cleaning(df: DataFrame, roles: Roles, iqr_factor: float = IQR_FACTOR,
         model.all_null = [c for c in types if miss[c] == rows]
     present = [c for c in types if c not in model.all_null]
 
+    # 5 (decided early). constant text columns (roles are never dropped): the
+    # mode fill never adds a new value, so min = max of the raw column decides
+    # it, and a column about to be dropped needs no fill statistics.
+    protected = set(roles.named())
+    model.constant = [c for c in text if c in present and c not in protected
+                      and text_minmax[c][0] == text_minmax[c][1]]
+
     # 3. fills
     to_median = [c for c in numeric if c in present and miss[c] > 0 and (impute_id or c != roles.id)]
-    to_mode = [c for c in present if c not in numeric and miss[c] > 0]
+    to_mode = [c for c in present if c not in numeric and miss[c] > 0 and c not in model.constant]
     if to_median:
         stats = {c: (rows - miss[c], *num_minmax[c]) for c in to_median}
         med = quantiles(df, to_median, [0.5], method=quantile_method, stats=stats)
@@ -225,8 +232,4 @@ def fit_cleaning(df: DataFrame, roles: Roles, iqr_factor: float = IQR_FACTOR,
             stats[c] = ((rows if filled else rows - miss[c]), lo, hi)
         model.bounds = iqr_bounds(imputed, clip_cols, iqr_factor, quantile_method, stats=stats)
 
-    # 5. constant text columns (roles are never dropped)
-    protected = set(roles.named())
-    model.constant = [c for c in text if c in present and c not in protected
-                      and text_minmax[c][0] == text_minmax[c][1]]
     return model
