@@ -1,0 +1,5 @@
+"""Streaming: apply batch-fitted cleaning, encoders and models to a stream."""
+
+from riskspark.streaming.scoring import score_stream, start_scoring
+
+__all__ = ["score_stream", "start_scoring"]
