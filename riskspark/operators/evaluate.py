@@ -13,6 +13,8 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.operators.split import ensure_parallel
+
 
 def confusion(pred: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
     """(label, prediction, n) counts."""
@@ -58,7 +60,7 @@ def binary_areas(pred: DataFrame, label: str, score: str = "rawPrediction",
     data = pred.select(F.col(label).cast("double").alias("label"), F.col(score).alias("score"))
     # Two evaluations read the same two columns: keep them (not the whole
     # scoring lineage) between the passes.
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = ensure_parallel(data).persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     try:
         for metric, key in (("areaUnderROC", "area_roc"), ("areaUnderPR", "area_pr")):
