@@ -476,6 +476,49 @@ def q_cluster_scatter(spark: SparkSession, sf: str) -> DataFrame:
         rep["data"].unpersist()
 
 
+def q_kmeans_centers(spark: SparkSession, sf: str) -> DataFrame:
+    """M8: the k centres, each coordinate rounded to 2 digits (cluster, dim, value)."""
+    rep = _embedding_clustering(spark, sf)
+    try:
+        return _materialize(spark, rep["centers"])
+    finally:
+        rep["data"].unpersist()
+
+
+def q_cluster_pca_variance(spark: SparkSession, sf: str) -> DataFrame:
+    """E8 for the scatter's axes: explained share per component."""
+    rep = _embedding_clustering(spark, sf)
+    try:
+        return _materialize(spark, rep["explained"])
+    finally:
+        rep["data"].unpersist()
+
+
+# The reference's own flow end to end on the accident-style table: clean ->
+# split -> encode -> forest (entry A) and scale -> K-Means -> PCA (entry C).
+
+def q_accident_forest_report(spark: SparkSession, sf: str) -> DataFrame:
+    prep = analyses.prepare(accident_frame(spark, sf), ACCIDENT_ROLES)
+    try:
+        rep = analyses.multiclass_report(prep)
+        m = rep["metrics"].first()
+        return _report_rows(spark, {"accuracy": m["accuracy"], "f1": m["f1"]}, rep["top_features"])
+    finally:
+        prep.release()
+
+
+def q_accident_cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    prep = analyses.prepare(accident_frame(spark, sf), ACCIDENT_ROLES)
+    try:
+        rep = analyses.clustering_report(prep.train, prep.test, ["id"])
+        try:
+            return _materialize(spark, rep["sizes"])
+        finally:
+            rep["data"].unpersist()
+    finally:
+        prep.release()
+
+
 def _lineitem_pca(spark: SparkSession, sf: str):
     cols = ["l_quantity", "l_extendedprice"]
     li = features.assemble(_lineitem_split(spark, sf), cols)
@@ -556,6 +599,10 @@ QUERIES: dict[str, Query] = {
     "pca_variance_2d": q_pca_variance_2d,
     "pca_projection_2d": q_pca_projection_2d,
     "cluster_scatter": q_cluster_scatter,
+    "kmeans_centers": q_kmeans_centers,
+    "cluster_pca_variance": q_cluster_pca_variance,
+    "accident_forest_report": q_accident_forest_report,
+    "accident_cluster_sizes": q_accident_cluster_sizes,
 }
 
 ORACLE_SQL: dict[str, str] = {
