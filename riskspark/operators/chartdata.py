@@ -19,22 +19,32 @@ def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
             .select("rank", "feature", "importance"))
 
 
-def scatter_cells(points: DataFrame, cell: float, cluster: str = "cluster", x: str = "pca_x",
+def scatter_cells(points: DataFrame, bins: int = 100, cluster: str = "cluster", x: str = "pca_x",
                   y: str = "pca_y") -> DataFrame:
-    """C3 points: counts per (cluster, grid cell); the cell centre stands for
-    its points, so the table size depends on the grid, not the row count."""
-    cx = F.floor(F.col(x) / F.lit(cell))
-    cy = F.floor(F.col(y) / F.lit(cell))
+    """C3 points: counts per (cluster, grid cell) on a ``bins`` x ``bins``
+    grid spanning the points; each cell is drawn at its centre.  One
+    aggregate finds the extent, so the table has at most
+    clusters x bins^2 rows, whatever the row count."""
+    ext = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
+    if ext["x0"] is None:
+        x0 = y0 = 0.0
+        wx = wy = 1.0
+    else:
+        x0, y0 = float(ext["x0"]), float(ext["y0"])
+        wx = (float(ext["x1"]) - x0) / bins or 1.0
+        wy = (float(ext["y1"]) - y0) / bins or 1.0
+    cx = F.least(F.floor((F.col(x) - F.lit(x0)) / F.lit(wx)), F.lit(bins - 1))
+    cy = F.least(F.floor((F.col(y) - F.lit(y0)) / F.lit(wy)), F.lit(bins - 1))
     return (points.groupBy(F.col(cluster).alias("cluster"), cx.alias("cell_x"), cy.alias("cell_y"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("pca_x", (F.col("cell_x") + 0.5) * F.lit(cell))
-            .withColumn("pca_y", (F.col("cell_y") + 0.5) * F.lit(cell))
+            .withColumn("pca_x", F.lit(x0) + (F.col("cell_x") + 0.5) * F.lit(wx))
+            .withColumn("pca_y", F.lit(y0) + (F.col("cell_y") + 0.5) * F.lit(wy))
             .withColumn("is_center", F.lit(False)))
 
 
-def cluster_scatter(points: DataFrame, centers_xy: DataFrame, cell: float) -> DataFrame:
+def cluster_scatter(points: DataFrame, centers_xy: DataFrame, bins: int = 100) -> DataFrame:
     """Binned points plus the k projected centres (is_center = true)."""
-    cells = scatter_cells(points, cell)
+    cells = scatter_cells(points, bins)
     cents = centers_xy.select(
         F.col("cluster"), F.lit(None).cast("bigint").alias("cell_x"), F.lit(None).cast("bigint").alias("cell_y"),
         F.lit(None).cast("bigint").alias("n"), "pca_x", "pca_y", F.lit(True).alias("is_center"))

@@ -66,7 +66,9 @@ def prepare(df: DataFrame, roles: Roles, fraction: float = 0.8, split_key: str |
     indexed = [features.indexed_name(c) for c in encoded]
     names = features.feature_columns(coded, indexed, exclude=skip | {label_index, "split"},
                                      feature_types=feature_types, duplicate_indexed=duplicate_indexed)
-    data = features.assemble(coded, names)
+    # Keep only what the fits and evaluations read: a smaller cache.
+    data = features.assemble(coded, names).select(
+        *[c for c in dict.fromkeys([roles.id, roles.label, label_index]) if c], "features", "split")
     if persist:
         data = ensure_parallel(data).persist(StorageLevel.MEMORY_AND_DISK)
     return Prepared(roles, cleaning, data, data.where(is_train), data.where(~is_train), names,
@@ -100,7 +102,7 @@ def binary_report(prep: Prepared, params: models.ForestParams = models.ForestPar
 
 
 def clustering_report(train: DataFrame, test: DataFrame, keep: list[str], features_col: str = "features",
-                      k: int = 3, seed: int = 42, pca_k: int = 2, cell: float = 0.25,
+                      k: int = 3, seed: int = 42, pca_k: int = 2, bins: int = 100,
                       partitions: int | None = None) -> dict:
     """Scale (fit on train) -> K-Means on train + test -> sizes, centres,
     PCA variance, projected centres and binned scatter.  ``keep`` columns
@@ -122,7 +124,7 @@ def clustering_report(train: DataFrame, test: DataFrame, keep: list[str], featur
         "centers": cluster.centers_rounded(spark, km),
         "explained": cluster.explained_frame(spark, pca),
         "centers_xy": cents,
-        "scatter": chartdata.cluster_scatter(points, cents, cell),
+        "scatter": chartdata.cluster_scatter(points, cents, bins),
         "points": points,
         "data": data,
         "kmeans": km,

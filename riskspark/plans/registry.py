@@ -469,11 +469,13 @@ def q_kmeans_centers_projected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_cluster_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    # The binned table is returned lazily (it is bounded by the grid, but
+    # is not collected); without the cache its plan recomputes the scaled
+    # vectors from the source rows, which are per-row projections.
     rep = _embedding_clustering(spark, sf)
-    try:
-        return _materialize(spark, rep["scatter"])
-    finally:
-        rep["data"].unpersist()
+    scatter = rep["scatter"]
+    rep["data"].unpersist()
+    return scatter
 
 
 def q_kmeans_centers(spark: SparkSession, sf: str) -> DataFrame:
