@@ -28,8 +28,9 @@ def with_split(df: DataFrame, key: str | list[str] | Column, fraction: float = 0
 
 
 def hash_split(df: DataFrame, key: str | list[str] | Column, fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by hash of the id; deterministic and partition-independent."""
-    cond = in_train(_key(df, key), fraction)
+    """(train, test) by hash of the id; deterministic and partition-independent.
+    A row whose key is NULL goes to the test part (it is never dropped)."""
+    cond = F.coalesce(in_train(_key(df, key), fraction), F.lit(False))
     return df.where(cond), df.where(~cond)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from riskspark.functions.columns import is_floating
 
 DEFAULT_BUCKETS = 16_384
-DEFAULT_EXACT_LIMIT = 250_000
+DEFAULT_EXACT_LIMIT = 1_000_000
 MAX_ROUNDS = 80
 
 

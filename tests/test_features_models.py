@@ -99,3 +99,10 @@ def test_stump_threshold_is_midpoint(spark):
     params = models.ForestParams(num_trees=1, max_depth=1, bootstrap=False, feature_subset="all", max_bins=64)
     model = models.fit_forest(data, "label", params=params)
     assert models.root_split(model) == (0, 25.5)
+
+
+def test_hash_split_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1,), (None,), (3,), (None,)], "id long")
+    train, test = hash_split(df, "id")
+    assert train.count() + test.count() == 4
+    assert test.where("id is null").count() == 2
