@@ -11,11 +11,11 @@ from riskspark.operators.profile import group_counts, share
 
 def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
     """C1 / C2 (R4 + R5): (rank, feature, importance), largest first, ties
-    by name.  The input has one row per feature."""
-    w = Window.orderBy(F.desc("importance"), F.asc("feature"))
-    return (importances.select("feature", "importance")
-            .withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= n)
+    by name.  A top-n (per-partition top n, then one merge of n rows per
+    partition) comes first; ranks are numbered over those n rows only."""
+    order = [F.desc("importance"), F.asc("feature")]
+    top = importances.select("feature", "importance").orderBy(*order).limit(n)
+    return (top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
             .select("rank", "feature", "importance"))
 
 

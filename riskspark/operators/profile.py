@@ -3,7 +3,7 @@ come from one aggregate over all columns at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,11 +70,13 @@ def value_counts(df: DataFrame, col: str, name: str = "label", dropna: bool = Tr
 def share(df: DataFrame, col: str, name: str = "label", digits: int = 1) -> DataFrame:
     """P5 / C4: counts per value with the percent share rounded to ``digits``.
 
-    The total comes from a window over the grouped result, which has one row
-    per label value (bounded by the label's arity)."""
+    The total is a scalar subquery over the grouped counts (one value, no
+    join); the grouped counts are one shuffle that both uses share, and no
+    step gathers all groups into one task, however many values the column
+    has."""
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias(name)).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return (counts.withColumn("pct", round_half_up(F.lit(100.0) * F.col("n") / total, digits))
+    total = counts.agg(F.sum("n")).scalar()
+    return (counts.select(name, "n", round_half_up(F.lit(100.0) * F.col("n") / total, digits).alias("pct"))
             .orderBy(F.desc("n"), F.asc(name)))
 
 
