@@ -60,6 +60,27 @@ def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     )
 
 
+def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, n_distinct) per column, missing excluded.
+
+    The (column, value) pairs of all columns go through one map-side
+    combined group-by (a hot value is one partial row per task), then a
+    second group-by counts the pairs per column.  No per-column Expand, and
+    no task ever holds the distinct values of a column."""
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, n_distinct bigint")
+    entries = [F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols]
+    pairs = (df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+             .where(F.col("v").isNotNull())
+             .distinct())
+    found = pairs.groupBy(F.col("k").alias("column_name")).agg(F.count(F.lit(1)).alias("n_distinct"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    # Columns with no values at all still get a row (0); ``names`` has one
+    # row per column, so this join is bounded by the column count.
+    return (names.join(F.broadcast(found), "column_name", "left")
+            .select("column_name", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("bigint").alias("n_distinct")))
+
+
 def value_counts(df: DataFrame, col: str, name: str = "label", dropna: bool = True) -> DataFrame:
     """Counts per value, missing excluded, most frequent first (ties by value)."""
     src = df.where(F.col(col).isNotNull()) if dropna else df

@@ -85,6 +85,20 @@ SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_rows,
        CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM g"""
 
 
+def q_distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """L14 on the raw accident-style table's text columns (sev has NULLs)."""
+    acc = accident_frame(spark, sf)
+    cols = [f.name for f in acc.schema.fields if f.dataType.simpleString() == "string"]
+    return profile.distinct_counts(acc, cols)
+
+
+SQL_DISTINCT_COUNTS = f"""
+WITH {ACCIDENT_SQL}
+SELECT 'sev' AS column_name, count(DISTINCT sev) AS n_distinct FROM accident
+UNION ALL SELECT 'day', count(DISTINCT day) FROM accident
+UNION ALL SELECT 'time', count(DISTINCT time) FROM accident"""
+
+
 def q_label_counts_raw(spark: SparkSession, sf: str) -> DataFrame:
     return profile.value_counts(accident_frame(spark, sf), "sev")
 
@@ -578,6 +592,7 @@ QUERIES: dict[str, Query] = {
     "column_profile": q_column_profile,
     "duplicate_rows": q_duplicate_rows,
     "label_counts_raw": q_label_counts_raw,
+    "distinct_counts": q_distinct_counts,
     "severity_share": q_severity_share,
     "impute_clip_timeparts": q_impute_clip_timeparts,
     "fill_statistics": q_fill_statistics,
@@ -611,6 +626,7 @@ ORACLE_SQL: dict[str, str] = {
     "column_profile": _sql_column_profile(),
     "duplicate_rows": SQL_DUPLICATE_ROWS,
     "label_counts_raw": SQL_LABEL_COUNTS_RAW,
+    "distinct_counts": SQL_DISTINCT_COUNTS,
     "severity_share": SQL_SEVERITY_SHARE,
     "impute_clip_timeparts": SQL_IMPUTE_CLIP_TIMEPARTS,
     "fill_statistics": SQL_FILL_STATISTICS,
