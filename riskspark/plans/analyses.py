@@ -7,10 +7,12 @@ label index fitted on train -> feature list -> vectors.  Then
 importances) and ``clustering_report`` (scale on train, K-Means on
 train + test, PCA, centres, chart tables).
 
-The assembled table (train and test together, told apart by a 'split'
-column) is persisted once (MEMORY_AND_DISK) because every model fit and
-evaluation reads it again; ``Prepared.release()`` frees it.  Lost cached blocks are recomputed from the parquet lineage,
-which is short (scan -> one projection -> encoders -> assembler).
+The cleaned table (train and test together, told apart by a 'split'
+column, cut to the columns later steps read) is persisted once
+(MEMORY_AND_DISK) because the encoder fit, every model fit and every
+evaluation read it again; ``Prepared.release()`` frees it.  Lost cached
+blocks are recomputed from the parquet lineage, which is short (scan -> one
+projection -> hash split).
 """
 
 from __future__ import annotations
@@ -41,38 +43,52 @@ class Prepared:
     label_index: str
     encoders: StringIndexerModel
     encoded: list[str] = field(default_factory=list)
+    cached: DataFrame | None = None   # the persisted cleaned, split-marked columns
 
     def release(self) -> None:
-        self.data.unpersist()
+        if self.cached is not None:
+            self.cached.unpersist()
 
 
 def prepare(df: DataFrame, roles: Roles, fraction: float = 0.8, split_key: str | list[str] | None = None,
             clean: bool = True, handle_invalid: str = "error", max_bins: int = features.DEFAULT_MAX_BINS,
             feature_types: list[str] | None = None, duplicate_indexed: bool = False,
             exclude: tuple[str, ...] = (), quantile_method: str = "exact", persist: bool = True) -> Prepared:
-    """Clean, split, encode and assemble.  The assembled table is computed
-    once, with a 'split' column, and cached; train and test are filters on it."""
+    """Clean, split, encode and assemble.
+
+    The cleaned table, marked with a 'split' column and cut to the columns
+    the later steps read, is persisted once (spread over the cluster if the
+    source has few partitions): the encoder fit, its arity check, the
+    forest and the evaluations all read it.  The assembled table is a
+    projection over it (string indexing and the assembler), with train and
+    test as filters on the 'split' column."""
     cleaning = fit_cleaning(df, roles, quantile_method=quantile_method) if clean else None
     cleaned = cleaning.transform(df) if cleaning else df
     skip = set(roles.named()) | set(roles.passthrough) | set(exclude)
     encoded = string_columns(cleaned, exclude=skip)
+    label_index = features.indexed_name(roles.label)
+    indexed = [features.indexed_name(c) for c in encoded]
 
     marked = with_split(cleaned, split_key if split_key is not None else roles.id, fraction)
+    # The feature list depends on the schema only: the encoded columns are
+    # doubles, so a schema with them stand-in as double literals decides it
+    # before anything runs.
+    shape = marked.select("*", *[F.lit(0.0).alias(c) for c in indexed])
+    names = features.feature_columns(shape, indexed, exclude=skip | {label_index, "split"},
+                                     feature_types=feature_types, duplicate_indexed=duplicate_indexed)
+    keep = list(dict.fromkeys([c for c in (roles.id, roles.label) if c] + encoded
+                              + [c for c in names if c not in set(indexed)] + ["split"]))
+    cached = None
+    if persist:
+        cached = ensure_parallel(marked.select(*keep)).persist(StorageLevel.MEMORY_AND_DISK)
+        marked = cached
     is_train = F.col("split") == "train"
     encoders = features.fit_encoders(marked.where(is_train), encoded, roles.label, handle_invalid, max_bins)
     coded = encoders.transform(marked)
-
-    label_index = features.indexed_name(roles.label)
-    indexed = [features.indexed_name(c) for c in encoded]
-    names = features.feature_columns(coded, indexed, exclude=skip | {label_index, "split"},
-                                     feature_types=feature_types, duplicate_indexed=duplicate_indexed)
-    # Keep only what the fits and evaluations read: a smaller cache.
     data = features.assemble(coded, names).select(
         *[c for c in dict.fromkeys([roles.id, roles.label, label_index]) if c], "features", "split")
-    if persist:
-        data = ensure_parallel(data).persist(StorageLevel.MEMORY_AND_DISK)
     return Prepared(roles, cleaning, data, data.where(is_train), data.where(~is_train), names,
-                    label_index, encoders, encoded)
+                    label_index, encoders, encoded, cached)
 
 
 def multiclass_report(prep: Prepared, params: models.ForestParams = models.ForestParams(),
