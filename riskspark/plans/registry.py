@@ -523,6 +523,20 @@ def q_accident_forest_report(spark: SparkSession, sf: str) -> DataFrame:
         prep.release()
 
 
+def q_accident_binary_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Entry B on the accident-style table: is_severe = not the most frequent
+    training label; forest, ROC/PR areas, label counts, top features."""
+    prep = analyses.prepare(accident_frame(spark, sf), ACCIDENT_ROLES)
+    try:
+        rep = analyses.binary_report(prep)
+        m = rep["metrics"].first()
+        counts = [(f"is_severe={r['is_severe']}", r["n"]) for r in rep["label_counts"].collect()]
+        return _report_rows(spark, {"area_roc": m["area_roc"], "area_pr": m["area_pr"]},
+                            rep["top_features"], counts)
+    finally:
+        prep.release()
+
+
 def q_accident_cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
     prep = analyses.prepare(accident_frame(spark, sf), ACCIDENT_ROLES)
     try:
@@ -619,6 +633,7 @@ QUERIES: dict[str, Query] = {
     "kmeans_centers": q_kmeans_centers,
     "cluster_pca_variance": q_cluster_pca_variance,
     "accident_forest_report": q_accident_forest_report,
+    "accident_binary_report": q_accident_binary_report,
     "accident_cluster_sizes": q_accident_cluster_sizes,
 }
 
