@@ -103,7 +103,10 @@ def multiclass_report(prep: Prepared, params: models.ForestParams = models.Fores
 
 
 def binary_report(prep: Prepared, params: models.ForestParams = models.ForestParams(),
-                  num_bins: int = 1000, positive: list[float] | None = None, top: int = 10) -> dict:
+                  num_bins: int = 0, positive: list[float] | None = None, top: int = 10) -> dict:
+    """Entry B.  ``num_bins=0`` (default): exact ROC/PR areas from one
+    pipeline; ``num_bins=1000`` is the reference's binned MLlib evaluator,
+    whose bins follow the sort's partitions."""
     spark = prep.train.sparkSession
     train = prep.train.withColumn("is_severe", features.binary_label(prep.label_index, positive))
     test = prep.test.withColumn("is_severe", features.binary_label(prep.label_index, positive))
