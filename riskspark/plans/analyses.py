@@ -122,14 +122,22 @@ def binary_report(prep: Prepared, params: models.ForestParams = models.ForestPar
 
 def clustering_report(train: DataFrame, test: DataFrame, keep: list[str], features_col: str = "features",
                       k: int = 3, seed: int = 42, pca_k: int = 2, bins: int = 100,
-                      partitions: int | None = None) -> dict:
+                      partitions: int | None = None, whole: DataFrame | None = None) -> dict:
     """Scale (fit on train) -> K-Means on train + test -> sizes, centres,
     PCA variance, projected centres and binned scatter.  ``keep`` columns
-    (the row id) travel with each point, so a cluster joins back to its row."""
+    (the row id) travel with each point, so a cluster joins back to its row.
+
+    ``whole``: when train and test are two filters of one table that
+    together keep every row (a split column), pass that table; it is then
+    read once instead of once per part (the union of the parts is that
+    table)."""
     spark = train.sparkSession
     scaler = features.fit_scaler(train, features_col)
-    both = union_parts(scaler.transform(train).select(*keep, "scaledFeatures"),
-                       scaler.transform(test).select(*keep, "scaledFeatures"))
+    if whole is not None:
+        both = scaler.transform(whole).select(*keep, "scaledFeatures")
+    else:
+        both = union_parts(scaler.transform(train).select(*keep, "scaledFeatures"),
+                           scaler.transform(test).select(*keep, "scaledFeatures"))
     # K-Means and PCA both read the scaled vectors; keep them once (the
     # caller releases ``data`` when the report tables are written).
     data = spread(both, partitions).persist(StorageLevel.MEMORY_AND_DISK)

@@ -456,8 +456,9 @@ SELECT CAST(j AS INTEGER) AS cluster, count(*) AS n FROM a GROUP BY 1"""
 def _embedding_clustering(spark: SparkSession, sf: str) -> dict:
     emb = table(spark, sf, "embeddings", ["vec_id", "embedding"]).select(
         "vec_id", to_vector("embedding").alias("features"))
-    train, test = hash_split(emb, "vec_id", TRAIN_FRACTION)
-    return analyses.clustering_report(train, test, ["vec_id"], "features", k=3, seed=42)
+    marked = with_split(emb, "vec_id", TRAIN_FRACTION)
+    train, test = marked.where(F.col("split") == "train"), marked.where(F.col("split") == "test")
+    return analyses.clustering_report(train, test, ["vec_id"], "features", k=3, seed=42, whole=marked)
 
 
 def _materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -540,7 +541,7 @@ def q_accident_binary_report(spark: SparkSession, sf: str) -> DataFrame:
 def q_accident_cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
     prep = analyses.prepare(accident_frame(spark, sf), ACCIDENT_ROLES)
     try:
-        rep = analyses.clustering_report(prep.train, prep.test, ["id"])
+        rep = analyses.clustering_report(prep.train, prep.test, ["id"], whole=prep.data)
         try:
             return _materialize(spark, rep["sizes"])
         finally:
