@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from riskspark.functions.exprs import HASH_DIGITS, HASH_SPACE, round_half_up, sq
 from riskspark.functions.vectors import to_vector, vector_columns
 from riskspark.operators import chartdata, cluster, evaluate, features, models, profile
 from riskspark.operators.clean import bounds_frame, constant_report, fit_cleaning, iqr_bounds
-from riskspark.operators.split import hash_split, spread, union_parts, with_split
+from riskspark.operators.split import ensure_parallel, hash_split, spread, union_parts, with_split
 from riskspark.plans import analyses
 from riskspark.roles import Roles
 from riskspark.sources.tables import ACCIDENT_ROLES, ACCIDENT_SQL, accident_frame, table
@@ -384,8 +385,14 @@ def q_forest_stump_split(spark: SparkSession, sf: str) -> DataFrame:
     names = ["l_quantity", "l_discount", "l_tax"]
     data = features.assemble(li, names).withColumn(
         "label", (F.col("l_quantity") > STUMP_QUANTITY).cast("double"))
+    # The fit reads its input several times (metadata, split candidates,
+    # binned points): keep the vectors between those passes.
+    data = ensure_parallel(data.select("features", "label")).persist(StorageLevel.MEMORY_AND_DISK)
     params = models.ForestParams(num_trees=1, max_depth=1, bootstrap=False, feature_subset="all", max_bins=64)
-    model = models.fit_forest(data, "label", params=params)
+    try:
+        model = models.fit_forest(data, "label", params=params)
+    finally:
+        data.unpersist()
     split = models.root_split(model)
     if split is None:
         raise RuntimeError("the stump did not split")
