@@ -559,11 +559,16 @@ def q_accident_cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lineitem_pca(spark: SparkSession, sf: str):
     cols = ["l_quantity", "l_extendedprice"]
-    li = features.assemble(_lineitem_split(spark, sf), cols)
-    scaler = features.fit_scaler(li.where(F.col("split") == "train"))
-    scaled = scaler.transform(li)
-    pca = cluster.fit_pca(scaled, "scaledFeatures", k=2)
-    return scaled, pca
+    li = features.assemble(_lineitem_split(spark, sf), cols).select(*LINEITEM_KEY, "features", "split")
+    # Two fits read the vectors: keep them for the fits only; the returned
+    # projection is recomputed from the scan.
+    kept = ensure_parallel(li).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        scaler = features.fit_scaler(kept.where(F.col("split") == "train"))
+        pca = cluster.fit_pca(scaler.transform(kept), "scaledFeatures", k=2)
+    finally:
+        kept.unpersist()
+    return scaler.transform(li), pca
 
 
 def q_pca_variance_2d(spark: SparkSession, sf: str) -> DataFrame:
