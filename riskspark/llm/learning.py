@@ -79,6 +79,17 @@ class Rows:
     def __len__(self) -> int:
         return len(self.start) - 1
 
+    def only(self, learned: np.ndarray, buckets: int) -> "Rows":
+        """The same rows with the learned features alone, numbered by their place in ``learned``."""
+        place = np.full(buckets, -1, np.int64)
+        place[learned] = np.arange(len(learned))
+        ids = place[self.ids]
+        keep = ids >= 0
+        out = Rows([], [])
+        out.ids, out.counts = ids[keep].astype(np.int32), self.counts[keep]
+        out.start = np.concatenate(([0], np.cumsum(keep)))[self.start].astype(np.int64)
+        return out
+
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, counts, which of ``rows``) of the chosen rows, one after another."""
         n = self.start[rows + 1] - self.start[rows]

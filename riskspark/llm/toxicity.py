@@ -1,7 +1,7 @@
 """Operator 7: toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; a sample of all texts, labels
-unseen, is the unlabelled set.  A linear classifier over hashed words is trained
+Confirmed toxic texts are the positives; a sample of texts whose labels are not
+looked at is the unlabelled set.  A linear classifier over hashed words is trained
 in numpy on the class-prior-corrected risk
 
     prior * R_positive(+) + max(0, R_unlabelled(-) - prior * R_positive(-)),
@@ -32,7 +32,9 @@ _WORD = re.compile(r"\w+")
 class ToxicityParams:
     """``positives`` and ``unlabelled`` bound the sample that is learned from (all
     rows, if fewer); ``prior`` is the share of toxic texts (None: from the
-    labels); ``least_texts``: features in fewer sample texts are not learned."""
+    labels); ``least_texts``: features in fewer sample texts are not learned.
+
+    Steps take large batches: in small ones the corrected risk falls below zero by chance."""
 
     positives: int = 3000
     unlabelled: int = 8000
@@ -40,12 +42,12 @@ class ToxicityParams:
     buckets: int = 1 << 18
     prefixes: tuple[int, ...] = (4, 5)
     least_texts: int = 4
-    pick_epochs: int = 8
-    fit_epochs: int = 12
-    batch: int = 256
+    pick_epochs: int = 15
+    fit_epochs: int = 100
+    batch: int = 4000
     pick_rate: float = 0.1
     fit_rate: float = 0.2
-    sparsity: float = 5e-3
+    sparsity: float = 1e-3
     seed: int = 11
 
 
@@ -83,7 +85,7 @@ class ToxicityModel:
 
 
 def train(pos: Rows, unl: Rows, prior: float, p: ToxicityParams) -> ToxicityModel:
-    """Logistic loss, AdaGrad steps, weights not below zero (evidence of toxicity
+    """Sigmoid loss, AdaGrad steps, weights not below zero (evidence of toxicity
     adds up; the absence of it is the bias).  A first run with a proximal step
     picks the features that matter, a second one without it fits their weights.
 
@@ -104,9 +106,8 @@ def train(pos: Rows, unl: Rows, prior: float, p: ToxicityParams) -> ToxicityMode
 def _descend(pos: Rows, unl: Rows, prior: float, p: ToxicityParams, learned: np.ndarray, sparsity: float, epochs: int,
              base_rate: float) -> tuple[np.ndarray, float]:
     """(weights of the learned buckets, bias) that lower the non-negative risk."""
-    place = np.full(p.buckets, len(learned), np.int64)          # the last place gathers what is not learned
-    place[learned] = np.arange(len(learned))
-    n = len(learned) + 1
+    pos, unl = pos.only(learned, p.buckets), unl.only(learned, p.buckets)
+    n = len(learned)
     weight, sum2 = np.zeros(n), np.full(n, 1e-6)
     bias, sum2_bias = float(np.log(prior / (1 - prior))), 1e-6
     rng = np.random.default_rng(p.seed)
@@ -114,8 +115,7 @@ def _descend(pos: Rows, unl: Rows, prior: float, p: ToxicityParams, learned: np.
 
     def margins(rows: Rows, pick: np.ndarray):
         ids, counts, which = rows.take(pick)
-        at = place[ids]
-        return at, counts, which, np.bincount(which, counts * weight[at], len(pick)) + bias
+        return ids, counts, which, np.bincount(which, counts * weight[ids], len(pick)) + bias
 
     for _ in range(epochs):
         order_u, order_p = rng.permutation(len(unl)), rng.permutation(len(pos))
@@ -124,33 +124,32 @@ def _descend(pos: Rows, unl: Rows, prior: float, p: ToxicityParams, learned: np.
             q = np.take(order_p, np.arange(lo, lo + half), mode="wrap")
             iu, cu, wu, zu = margins(unl, u)
             ip, cp, wp, zp = margins(pos, q)
-            risk_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            as_negative = -prior * sigmoid(zp) / len(q)
-            if risk_negative >= 0:
-                du, dp = sigmoid(zu) / len(u), as_negative - prior * sigmoid(-zp) / len(q)
-            else:
-                du, dp = -sigmoid(zu) / len(u), -as_negative
+            su, sp = sigmoid(zu), sigmoid(zp)
+            risk_negative = su.mean() - prior * sp.mean()
+            slope_u, slope_p = su * (1 - su) / len(u), prior * sp * (1 - sp) / len(q)
+            # The loss of a text as positive is sigmoid(-z), as negative sigmoid(z).
+            du, dp = (slope_u, -2 * slope_p) if risk_negative >= 0 else (-slope_u, slope_p)
             grad = np.bincount(iu, cu * du[wu], n) + np.bincount(ip, cp * dp[wp], n)
             sum2 += grad * grad
             weight = np.maximum(weight - base_rate / np.sqrt(sum2) * (grad + sparsity), 0.0)
-            weight[-1] = 0.0
             g = float(du.sum() + dp.sum())
             sum2_bias += g * g
             bias -= base_rate * g / np.sqrt(sum2_bias)
-    return weight[:-1], bias
+    return weight, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Positives: rows labelled toxic outside the held-out fold.  Unlabelled: texts outside it, labels unseen.
+    """Positives: rows labelled toxic outside the held-out fold.  Unlabelled: texts
+    of the rows outside it that the label table names, their labels unseen, so that the
+    toxic share of the table is the prior that the risk needs.
 
-    The prior is the toxic share of those labelled rows.  Rows with a NULL id are
-    left out; of repeated labels of an id, the largest counts."""
+    Rows with a NULL id are left out; of repeated labels of an id, the largest counts."""
     learn = fold("doc_id", FOLDS) != HELD_OUT
     known = labels.where(learn).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
     prior = params.prior if params.prior is not None else min(max(float(share or 0.0), 0.001), 0.5)
     pos = first_by_hash(known.where("toxic = 1").select("doc_id"), params.positives)
-    unl = first_by_hash(docs.where(learn).select("doc_id"), params.unlabelled)
+    unl = first_by_hash(known.select("doc_id"), params.unlabelled)
     pos_ids, unl_ids = ({r["doc_id"] for r in x.collect()} for x in (pos, unl))      # bounded by the parameters
     if not pos_ids or not unl_ids:
         return train(Rows([], []), Rows([], []), prior, params)
