@@ -101,16 +101,12 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Equal rows give equal occurrences; one of each key is enough.
     held = rows.join(suspects, "key").select("key", "id", "text", "places")
     occ = cut(held.mapInArrow(occurrences, "key binary, id long, place int, digest binary, body binary"))
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"), F.col("place"))
-    first = occ.groupBy("digest").agg(F.min(order).alias("first"))
-    # The first bytes of a digest are those of its first occurrence.
+    # A digest's first bytes travel with its first occurrence; partial minima leave one row per digest and task.
+    first = occ.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "place", "body")).alias("first"))
     o, f = occ.alias("o"), first.alias("f")
-    marked = o.join(f, F.col("o.digest") == F.col("f.digest")).select(
-        "o.*", ((F.col("o.key") == F.col("f.first.key")) & (F.col("o.place") == F.col("f.first.place"))).alias("is_first"))
-    kept = marked.where("is_first").select("digest", F.col("body").alias("first_body")).dropDuplicates(["digest"])
-    gone = marked.where("not is_first").alias("m").join(kept.alias("k"), F.col("m.digest") == F.col("k.digest")) \
-                 .where(F.col("m.body") == F.col("k.first_body")).select("m.key", "m.place").distinct() \
-                 .groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    later = (F.col("o.key") != F.col("f.first.key")) | (F.col("o.place") != F.col("f.first.place"))
+    gone = o.join(f, F.col("o.digest") == F.col("f.digest")).where(later & (F.col("o.body") == F.col("f.first.body"))) \
+            .select("o.key", "o.place").distinct().groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
     out_schema = pack(docs).schema.add("clean_text", "string")
     names = ("n_chunks", "n_chunks_removed", "n_lines_removed", "n_bytes_removed")
