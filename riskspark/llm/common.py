@@ -3,8 +3,10 @@ shared folder, row keys, and walking Arrow text columns in bounded blocks."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, so tasks can import it wherever they run
+    (once for each application; Spark's file server hands the archive out)."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        at = os.path.join(tempfile.mkdtemp(prefix="riskspark-code-"), "riskspark-code")
+        sc.addPyFile(shutil.make_archive(at, "zip", os.path.dirname(package), os.path.basename(package)))
+        _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import cut
+from riskspark.llm.common import cut, map_arrow
 
 
 @dataclass(frozen=True)
@@ -220,8 +220,8 @@ def shard_graphs(vectors: DataFrame, p: GraphParams = GraphParams()) -> DataFram
                                   ("ids", pa.list_(pa.list_(pa.int64()))), ("nodes", pa.list_(pa.binary())),
                                   ("links", pa.list_(pa.binary()))]))
 
-    return vectors.select("ids", "vec").mapInArrow(
-        run, "part int, seq int, dim int, vectors binary, ids array<array<long>>, nodes array<binary>, links array<binary>")
+    return map_arrow(
+        vectors.select("ids", "vec"), run, "part int, seq int, dim int, vectors binary, ids array<array<long>>, nodes array<binary>, links array<binary>")
 
 
 def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -256,7 +256,7 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
             yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids], pa.list_(pa.int64())),
                                               pa.array([v.tobytes()], pa.binary())], names=["dim", "queries", "wanted"])
 
-    packed = wanted.select("query", "vec").mapInArrow(blocks, "dim int, queries array<long>, wanted binary") \
+    packed = map_arrow(wanted.select("query", "vec"), blocks, "dim int, queries array<long>, wanted binary") \
                    .select("*", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard")) if n_shards else \
         wanted.sparkSession.createDataFrame([], "dim int, queries array<long>, wanted binary, shard int")
     meetings = shards.join(names, ["part", "seq"]).join(packed, ["shard", "dim"])
@@ -288,8 +288,9 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()),
                                                   pa.array(out[2], pa.int64())], names=["query", "score", "vec_id"])
 
-    found = meetings.select("shard", "dim", "vectors", "ids", "nodes", "links", "queries", "wanted").mapInArrow(
-        meet, "query long, score double, vec_id long")
+    found = map_arrow(
+        meetings.select("shard", "dim", "vectors", "ids", "nodes", "links", "queries", "wanted"), meet,
+        "query long, score double, vec_id long")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     merged = found.withColumn("place", place).where(F.col("place") <= k + 1) \
                   .groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import small_batches
+from riskspark.llm.common import map_arrow, small_batches
 from riskspark.llm.textkernel import BASE, mix
 
 #: Words remembered by a worker while scoring (results don't depend on it).
@@ -109,7 +109,7 @@ def sparse_features(docs: DataFrame, features: Callable[[str], tuple[np.ndarray,
                 pa.array([counts.astype(np.float32).tobytes() for _, counts in found], pa.binary())],
                 names=["doc_id", "ids", "counts"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, counts binary").collect()
+    rows = map_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids binary, counts binary").collect()
     seen: dict[int, tuple] = {}
     for r in sorted(rows, key=lambda r: (r[0], r[1], r[2])):      # one text per id, whatever the order of arrival
         seen.setdefault(r[0], (np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)))
@@ -148,7 +148,7 @@ def add_scores(docs: DataFrame, text_col: str, name: str,
             yield pa.RecordBatch.from_arrays([*cols, pa.array(score([t or "" for t in texts]), pa.float64())],
                                              names=[*keep, name])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def sigmoid(x):

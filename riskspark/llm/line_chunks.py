@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import content_key, cut, pack, small_batches
+from riskspark.llm.common import content_key, cut, map_arrow, pack, small_batches
 
 #: A boundary follows a line when the hash of it and the line before is 0 modulo this.
 DIVISOR = 4
@@ -78,7 +78,7 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.int32()),
                                               pa.array(found, pa.binary())], names=["key", "place", "digest"])
 
-    slim = cut(rows.select("key", "text").mapInArrow(digests, "key binary, place int, digest binary"))
+    slim = cut(map_arrow(rows.select("key", "text"), digests, "key binary, place int, digest binary"))
     again = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     suspects = slim.join(again, "digest").select("key", "place").distinct() \
                    .groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))
@@ -100,7 +100,7 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # Equal rows give equal occurrences; one of each key is enough.
     held = rows.join(suspects, "key").select("key", "id", "text", "places")
-    occ = cut(held.mapInArrow(occurrences, "key binary, id long, place int, digest binary, body binary"))
+    occ = cut(map_arrow(held, occurrences, "key binary, id long, place int, digest binary, body binary"))
     # A digest's first bytes travel with its first occurrence; partial minima leave one row per digest and task.
     first = occ.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "place", "body")).alias("first"))
     o, f = occ.alias("o"), first.alias("f")
@@ -130,7 +130,7 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                                               *(pa.array(v, pa.int64()) for v in figures)],
                                              names=["row", "clean_text", *names])
 
-    return rows.join(gone, "key", "left").select("row", "text", "places").mapInArrow(remove, out_schema)
+    return map_arrow(rows.join(gone, "key", "left").select("row", "text", "places"), remove, out_schema)
 
 
 def chunk_report(docs: DataFrame) -> DataFrame:

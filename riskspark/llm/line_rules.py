@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from riskspark.llm.common import text_blocks
+from riskspark.llm.common import map_arrow, text_blocks
 from riskspark.llm.textkernel import mix, prefix_hash, range_hash, shingles, word_ranges
 
 # Fixed values of the base figures: symbols, window length, limits of the base test.
@@ -145,7 +145,7 @@ def line_first(docs: DataFrame, text_col: str = "text", rules: LineRules = LineR
                          for c in added]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *added])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

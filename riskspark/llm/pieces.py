@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from riskspark.llm.common import small_batches
+from riskspark.llm.common import map_arrow, small_batches
 
 # Fixed values of the SentencePiece format: the mark of a space, and the forms of byte pieces.
 MARK = "▁"
@@ -313,7 +313,7 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, bool]], text_col: str
                      pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *added])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def decode(rows: DataFrame, pieces: list[tuple[str, float, bool]], ids_col: str = "ids",
@@ -331,7 +331,7 @@ def decode(rows: DataFrame, pieces: list[tuple[str, float, bool]], ids_col: str
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*keep, text_col])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def token_report(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import graph_search, licences, line_chunks, line_rules, mixing, pieces, quality, toxicity
+from riskspark.llm import graph_search, licences, line_chunks, line_rules, mixing, near_duplicates, pieces, quality, toxicity
 from riskspark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_report(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.search_report(table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
