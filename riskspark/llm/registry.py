@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import graph_search, licences, line_chunks, line_rules, mixing, near_duplicates, pieces, quality, toxicity
+from riskspark.llm import graph_search, licences, line_chunks, line_rules, mixing, near_duplicates, pieces, quality, repeats, toxicity
 from riskspark.llm.common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_report(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_near_duplicates": op4_near_duplicates,
