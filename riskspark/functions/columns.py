@@ -49,7 +49,3 @@ def columns_of_types(df: DataFrame, type_names: Iterable[str],
     skip = set(exclude)
     return [f.name for f in df.schema.fields
             if f.dataType.simpleString() in wanted and f.name not in skip]
-
-
-def dtype_of(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType

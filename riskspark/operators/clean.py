@@ -16,8 +16,7 @@ Fit order follows the reference:
 
 The fitted model holds one number or text per column; ``transform`` turns it
 into literals (``coalesce``, ``least``/``greatest``), so the cleaned table is
-a single codegen'd projection with no join, usable on batch and streaming
-DataFrames alike.
+a single codegen'd projection with no join, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -30,11 +29,12 @@ from pyspark.sql import types as T
 
 from riskspark.functions.columns import is_atomic, is_floating, is_numeric
 from riskspark.functions.exprs import IQR_FACTOR, clip, missing, peak_hour
-from riskspark.operators.statistics import modes, quantiles, value_expr
+from riskspark.operators.statistics import medians_and_quartiles, modes, quantiles, value_expr
 from riskspark.roles import Roles
 
 # Fixed value: the reference parses the time column with this pattern.
-TIME_FORMAT = "HH:mm:ss"
+# One letter reads one or two digits, as the reference's pattern does.
+TIME_FORMAT = "H:m:s"
 
 
 @dataclass(frozen=True)
@@ -51,14 +51,12 @@ def iqr_bounds(df: DataFrame, cols: list[str], factor: float = IQR_FACTOR, metho
                stats: dict | None = None) -> dict[str, Bounds]:
     """L5 + L6: quartiles and the clip range of each numeric column."""
     qs = quantiles(df, cols, [0.25, 0.75], method=method, stats=stats)
-    out = {}
-    for c in cols:
-        q1, q3 = qs[c]
-        if q1 is None:
-            continue
-        iqr = q3 - q1
-        out[c] = Bounds(q1, q3, iqr, q1 - factor * iqr, q3 + factor * iqr, iqr == 0.0)
-    return out
+    return {c: bounds_of(*qs[c], factor) for c in cols if qs[c][0] is not None}
+
+
+def bounds_of(q1: float, q3: float, factor: float = IQR_FACTOR) -> Bounds:
+    iqr = q3 - q1
+    return Bounds(q1, q3, iqr, q1 - factor * iqr, q3 + factor * iqr, iqr == 0.0)
 
 
 def constant_report(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -96,6 +94,9 @@ class CleaningModel:
     constant: list[str] = field(default_factory=list)
     derive_time: bool = True
     bad_time: str = "raise"
+    date_format: str | None = None      # None: ISO dates
+    time_format: str = TIME_FORMAT
+    num_minmax: dict[str, tuple] = field(default_factory=dict)
 
     # ---- apply ---------------------------------------------------------
     def _base(self, name: str) -> Column:
@@ -115,7 +116,8 @@ class CleaningModel:
 
     def _parse_date(self, x: Column, dtype: T.DataType) -> Column:
         if isinstance(dtype, T.StringType):
-            return F.to_date(x) if self.bad_time == "raise" else F.try_to_date(x)
+            args = [x] if self.date_format is None else [x, self.date_format]
+            return F.to_date(*args) if self.bad_time == "raise" else F.try_to_date(*args)
         if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
             return x.cast("date")
         return x
@@ -123,8 +125,8 @@ class CleaningModel:
     def _parse_time(self, x: Column, dtype: T.DataType) -> Column:
         if isinstance(dtype, T.StringType):
             if self.bad_time == "raise":
-                return F.to_timestamp_ntz(x, F.lit(TIME_FORMAT))
-            return F.try_to_timestamp(x, F.lit(TIME_FORMAT)).cast("timestamp_ntz")
+                return F.to_timestamp_ntz(x, F.lit(self.time_format))
+            return F.try_to_timestamp(x, F.lit(self.time_format)).cast("timestamp_ntz")
         return x
 
     def kept(self) -> list[str]:
@@ -151,6 +153,25 @@ class CleaningModel:
             derived["is_peak_hour"] = peak_hour(hour)
         return out.withColumns(derived) if derived else out
 
+    def reference_types(self) -> dict[str, str]:
+        """The Spark type that each numeric column has in the reference, where
+        pandas reads and cleans the table first: whole numbers are bigint unless
+        a value is missing, or is clipped to a bound that is no whole number; month and hour are int; the peak flag is
+        bigint."""
+        out = {}
+        for c in self.kept():
+            if c not in self.num_minmax:
+                continue
+            kind = "double" if is_floating(self.types[c]) or self.missing[c] else "bigint"
+            if kind == "bigint" and c in self.bounds:
+                (lo, hi), b = self.num_minmax[c], self.bounds[c]
+                if (lo is not None and lo < b.lo and not b.lo.is_integer()) or \
+                        (hi is not None and hi > b.hi and not b.hi.is_integer()):
+                    kind = "double"
+            out[c] = kind
+        out.update({"month": "int", "hour": "int", "is_peak_hour": "bigint"})
+        return out
+
     # ---- reports -------------------------------------------------------
     def fills_frame(self, spark: SparkSession) -> DataFrame:
         """(column_name, method, num_value, text_value, missing) per filled column."""
@@ -162,16 +183,15 @@ class CleaningModel:
     def bounds_frame(self, spark: SparkSession) -> DataFrame:
         return bounds_frame(spark, self.bounds)
 
-    def dropped_frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(c, "all_missing") for c in self.all_null] + [(c, "constant") for c in self.constant]
-        return spark.createDataFrame(rows, "column_name string, reason string")
-
 
 def fit_cleaning(df: DataFrame, roles: Roles, iqr_factor: float = IQR_FACTOR,
                  quantile_method: str = "exact", impute_id: bool = True,
                  clip_label: bool = True, derive_time: bool = True,
-                 bad_time: str = "raise") -> CleaningModel:
-    """Fit the cleaning statistics on ``df`` (pass the training part to fit on train only)."""
+                 bad_time: str = "raise", date_format: str | None = None, time_format: str = TIME_FORMAT,
+                 parts: tuple[str, ...] = ("fill", "clip")) -> CleaningModel:
+    """Fit the cleaning statistics on ``df`` (pass the training part to fit on train only).
+
+    ``parts``: what the caller will use; statistics of other parts are not worked out."""
     fields = [f for f in df.schema.fields if is_atomic(f.dataType) and f.name not in set(roles.passthrough)]
     types = {f.name: f.dataType for f in fields}
     numeric = [f.name for f in fields if is_numeric(f.dataType)]
@@ -193,7 +213,8 @@ def fit_cleaning(df: DataFrame, roles: Roles, iqr_factor: float = IQR_FACTOR,
     text_minmax = {c: (row[f"tlo{i}"], row[f"thi{i}"]) for i, c in enumerate(text)}
 
     model = CleaningModel(roles=roles, columns=[f.name for f in df.schema.fields], types=types,
-                          rows=rows, missing=miss, derive_time=derive_time, bad_time=bad_time)
+                          rows=rows, missing=miss, derive_time=derive_time, bad_time=bad_time,
+                          date_format=date_format, time_format=time_format, num_minmax=num_minmax)
     model.types.update({f.name: f.dataType for f in df.schema.fields})
     model.missing.update({c: 0 for c in model.columns if c not in model.missing})
 
@@ -209,27 +230,28 @@ def fit_cleaning(df: DataFrame, roles: Roles, iqr_factor: float = IQR_FACTOR,
     model.constant = [c for c in text if c in present and c not in protected
                       and text_minmax[c][0] == text_minmax[c][1]]
 
-    # 3. fills
-    to_median = [c for c in numeric if c in present and miss[c] > 0 and (impute_id or c != roles.id)]
-    to_mode = [c for c in present if c not in numeric and miss[c] > 0 and c not in model.constant]
-    if to_median:
-        stats = {c: (rows - miss[c], *num_minmax[c]) for c in to_median}
-        med = quantiles(df, to_median, [0.5], method=quantile_method, stats=stats)
-        model.numeric_fill = {c: med[c][0] for c in to_median}
+    # 3. fills, 4. clip range from quartiles of the imputed values
+    to_median = [c for c in numeric if c in present and miss[c] > 0 and (impute_id or c != roles.id)] \
+        if "fill" in parts else []
+    to_mode = [c for c in present if c not in numeric and miss[c] > 0 and c not in model.constant] \
+        if "fill" in parts else []
+    clip_cols = [c for c in numeric if c in present and c != roles.id and (clip_label or c != roles.label)] \
+        if "clip" in parts else []
+    stats = {c: (rows - miss[c], *num_minmax[c]) for c in numeric}
     if to_mode:
         found = modes(df, to_mode)
         model.other_fill = {c: found[c][0] for c in to_mode if found[c][0] is not None}
-
-    # 4. clip range from quartiles of the imputed values
-    clip_cols = [c for c in numeric if c in present and c != roles.id and (clip_label or c != roles.label)]
-    if clip_cols:
-        imputed = df.select(*[model._base(c).alias(c) if c in model.numeric_fill else F.col(c)
-                              for c in clip_cols])
-        stats = {}
-        for c in clip_cols:
-            lo, hi = num_minmax[c]
-            filled = c in model.numeric_fill
-            stats[c] = ((rows if filled else rows - miss[c]), lo, hi)
-        model.bounds = iqr_bounds(imputed, clip_cols, iqr_factor, quantile_method, stats=stats)
+    if quantile_method != "exact":
+        if to_median:
+            med = quantiles(df, to_median, [0.5], method=quantile_method, stats=stats)
+            model.numeric_fill = {c: med[c][0] for c in to_median}
+        if clip_cols:
+            imputed = df.select(*[model._base(c).alias(c) if c in model.numeric_fill else F.col(c) for c in clip_cols])
+            model.bounds = iqr_bounds(imputed, clip_cols, iqr_factor, quantile_method)
+        return model
+    filled = {c: (rows - miss[c], miss[c]) for c in to_median}
+    medians, quartiles = medians_and_quartiles(df, to_median, clip_cols, filled, stats)
+    model.numeric_fill = medians
+    model.bounds = {c: bounds_of(*q, iqr_factor) for c, q in quartiles.items() if q[0] is not None}
 
     return model

@@ -1,35 +1,21 @@
-"""Clustering and projection (M6-M8, E7, E8, E11) and a fixed-start Lloyd
-variant with an exact oracle.
+"""Clustering and projection.
 
 K-Means (k-means|| start) and PCA are MLlib's: K-Means broadcasts the k
-centres each round; PCA sums a d x d Gramian with a tree aggregate and
-solves the eigenproblem on the driver, so d must stay modest
-(``MAX_PCA_DIM``).  The Lloyd variant puts the k centres into the plan as
-literals: assignment is a codegen'd expression, no join and no UDF; each
-round's new centres are one grouped average (k rows) back to the driver.
-"""
+centres each round; PCA sums a d x d Gramian with a tree aggregate and solves
+the eigenproblem on the driver, so MLlib bounds d."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions.exprs import round_half_up
 from riskspark.sources.readers import literal_vectors
 
-MAX_PCA_DIM = 4096
-# Vectors longer than this use array functions (zip_with + aggregate) for the
-# distance; an unrolled sum of many terms per centre makes generated code too
-# large to compile well (measured: 64 dims x 3 centres, 7x slower unrolled).
-UNROLL_LIMIT = 8
-
 
 def fit_kmeans(df: DataFrame, features: str = "scaledFeatures", k: int = 3, seed: int = 42,
                max_iter: int = 20, tol: float = 1e-4, init_mode: str = "k-means||",
@@ -58,9 +44,6 @@ def centers_rounded(spark: SparkSession, model: KMeansModel, digits: int = 2) ->
 
 def fit_pca(df: DataFrame, col: str = "scaledFeatures", k: int = 2, out: str = "pcaFeatures") -> PCAModel:
     """Principal components of the centred covariance (transform does not centre)."""
-    d = df.schema[col].metadata.get("ml_attr", {}).get("num_attrs")
-    if d is not None and d > MAX_PCA_DIM:
-        raise ValueError(f"PCA on {d} dimensions needs a {d}x{d} matrix on the driver; limit is {MAX_PCA_DIM}")
     return PCA(k=k, inputCol=col, outputCol=out).fit(df)
 
 
@@ -90,64 +73,3 @@ def project_xy(df: DataFrame, model: PCAModel, keep: list[str], out_x: str = "pc
     arr = vector_to_array(F.col(model.getOutputCol()))
     return model.transform(df).select(*keep, (arr[0] * F.lit(sx)).alias(out_x),
                                       (arr[1] * F.lit(sy)).alias(out_y))
-
-
-# ---- fixed-start Lloyd ------------------------------------------------------
-
-def squared_distance(x: Column, center: list[float]) -> Column:
-    """Squared Euclidean distance of an array column to a literal centre, in double."""
-    if len(center) <= UNROLL_LIMIT:
-        terms = [(x[i].cast("double") - F.lit(float(v))) * (x[i].cast("double") - F.lit(float(v)))
-                 for i, v in enumerate(center)]
-        return reduce(lambda a, b: a + b, terms)
-    lit = F.array(*[F.lit(float(v)) for v in center])
-    diffs = F.zip_with(x, lit, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-    return F.aggregate(diffs, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def nearest(x: Column, cents: list[list[float]], digits: int | None = 9) -> Column:
-    """Index of the nearest centre; distances rounded to ``digits`` so ties
-    are exact, and ties go to the lowest index."""
-    items = []
-    for j, c in enumerate(cents):
-        d = squared_distance(x, c)
-        if digits is not None:
-            d = round_half_up(d, digits)
-        items.append(F.struct(d.alias("d"), F.lit(j).alias("j")))
-    return (F.least(*items) if len(items) > 1 else items[0])["j"]
-
-
-def first_rows_as_centers(df: DataFrame, array_col: str, order_col: str, k: int) -> list[list[float]]:
-    """Starting centres: the k rows with the smallest ``order_col`` (a top-k, k rows)."""
-    rows = df.orderBy(order_col).limit(k).select(array_col).collect()
-    return [[float(v) for v in r[0]] for r in rows]
-
-
-def lloyd(df: DataFrame, array_col: str, init: list[list[float]], max_iter: int = 20,
-          tol: float = 1e-4, digits: int | None = 9) -> tuple[list[list[float]], int]:
-    """Lloyd's algorithm from given centres; returns (centres, rounds run).
-
-    Each round is one aggregate (grouped sums per cluster, k rows out); an
-    empty cluster keeps its centre.  The input column is persisted for the
-    rounds and released at the end."""
-    d = len(init[0])
-    data = df.select(F.col(array_col).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    cents = [list(map(float, c)) for c in init]
-    rounds = 0
-    try:
-        for rounds in range(1, max_iter + 1):
-            assigned = data.select(nearest(F.col("x"), cents, digits).alias("c"), "x")
-            rows = (assigned.groupBy("c")
-                    .agg(F.count(F.lit(1)).alias("n"),
-                         *[F.sum(F.col("x")[i].cast("double")).alias(f"s{i}") for i in range(d)])
-                    .collect())
-            new = [list(c) for c in cents]
-            for r in rows:
-                new[r["c"]] = [r[f"s{i}"] / r["n"] for i in range(d)]
-            shift = max(sum((a - b) ** 2 for a, b in zip(p, q)) for p, q in zip(cents, new))
-            cents = new
-            if shift <= tol * tol:
-                break
-    finally:
-        data.unpersist()
-    return cents, rounds

@@ -8,7 +8,7 @@ which down-samples the curve to about that many points; one sort of the
 scores per metric).  With ``num_bins=0`` the exact curve comes from one
 DataFrame pipeline that yields both areas: positives and negatives per
 distinct score (a map-side combined group-by, so a hot score is one row),
-the distinct scores cut into score ranges at approximate quantiles, the
+the distinct scores cut into a fixed number of ranges at approximate quantiles, the
 running counts inside each range (a window partitioned by range) plus the
 counts of all higher ranges (a broadcast of one row per range), and one sum
 of the trapezoids.  No task sorts more than one range.
@@ -19,15 +19,12 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import Bucketizer
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.operators.split import ensure_parallel
-
 
 def confusion(pred: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
     """(label, prediction, n) counts."""
@@ -56,15 +53,6 @@ def accuracy_f1(pred: DataFrame, label: str, prediction: str = "prediction") ->
     )
 
 
-def mllib_multiclass(pred: DataFrame, label: str, prediction: str = "prediction") -> dict[str, float]:
-    """The same two numbers through MLlib's evaluator (two passes)."""
-    out = {}
-    for metric in ("accuracy", "f1"):
-        ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName=metric)
-        out[metric] = ev.evaluate(pred)
-    return out
-
-
 def _score_column(df: DataFrame, score: str):
     c = F.col(score)
     if isinstance(df.schema[score].dataType, VectorUDT):
@@ -84,7 +72,7 @@ def binary_areas(pred: DataFrame, label: str, score: str = "rawPrediction",
     data = pred.select(F.col(label).cast("double").alias("label"), F.col(score).alias("score"))
     # Two evaluations read the same two columns: keep them (not the whole
     # scoring lineage) between the passes.
-    data = ensure_parallel(data).persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     try:
         for metric, key in (("areaUnderROC", "area_roc"), ("areaUnderPR", "area_pr")):
@@ -96,12 +84,17 @@ def binary_areas(pred: DataFrame, label: str, score: str = "rawPrediction",
     return out
 
 
-def exact_areas(pred: DataFrame, label: str, score: str = "rawPrediction",
-                range_rows: int = 1_000_000, min_range_rows: int = 10_000) -> dict[str, float]:
+#: Score ranges of the exact curve; fixed, so results and plans don't depend on the number of scores.
+SCORE_RANGES = 64
+
+
+def exact_areas(pred: DataFrame, label: str, score: str = "rawPrediction", ranges: int = SCORE_RANGES) -> dict[str, float]:
     """Exact areas under the ROC and PR curves, both from one pipeline.
 
-    A label above 0.5 is positive (as in MLlib).  Thresholds are the
-    distinct scores, highest first; the ROC curve starts at (0, 0), the PR
+    A label above 0.5 is positive (as in MLlib).  Rows with a NULL label or a NULL
+    or NaN score are left out; infinite scores are scores like others.  Without
+    positives both areas are 0, without negatives both are 1 (as in MLlib); NaN if
+    no row is left.  Thresholds are the distinct scores, highest first; the ROC curve starts at (0, 0), the PR
     curve at recall 0 with the first point's precision.  With tp, fp the
     counts at or above a score and pos, neg the counts at it, the trapezoid
     areas are
@@ -110,30 +103,27 @@ def exact_areas(pred: DataFrame, label: str, score: str = "rawPrediction",
         PR  = sum(pos * (precision + previous precision) / 2) / P
 
     where the previous point's counts are (tp - pos, fp - neg), so no row
-    needs its neighbour.  Ranges hold at most ``range_rows`` distinct
-    scores (and are cut finer, down to ``min_range_rows``, to use the
-    cluster); the per-range totals are one row per range."""
-    s = _score_column(pred, score)
-    is_pos = (F.col(label).cast("double") > 0.5).cast("long")
-    per = (pred.select(s.alias("score"), is_pos.alias("p"))
+    needs its neighbour.  Running counts are taken inside ``ranges`` score ranges."""
+    s, y = _score_column(pred, score), F.col(label).cast("double")
+    per = (pred.where(y.isNotNull() & s.isNotNull() & ~F.isnan(s))
+           .select(s.alias("score"), (y > 0.5).cast("long").alias("p"))
            .groupBy("score")
            .agg(F.sum("p").alias("pos"), (F.count(F.lit(1)) - F.sum("p")).alias("neg")))
     per = per.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        head = per.agg(F.count(F.lit(1)).alias("k"), F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-        k, P, N = int(head["k"]), int(head["P"] or 0), int(head["N"] or 0)
+        probs = [i / ranges for i in range(1, ranges)] or [0.5]
+        head = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                       F.percentile_approx("score", probs, 100 * ranges).alias("q")).first()
+        P, N = int(head["P"] or 0), int(head["N"] or 0)
         if P == 0 or N == 0:
-            return {"area_roc": float("nan"), "area_pr": float("nan") if P == 0 else 1.0}
-        parallel = pred.sparkSession.sparkContext.defaultParallelism
-        ranges = max(math.ceil(k / range_rows), min(parallel, math.ceil(k / min_range_rows)), 1)
-        if ranges > 1:
-            probs = [i / ranges for i in range(1, ranges)]
-            cuts = per.agg(F.percentile_approx("score", probs, 10 * ranges).alias("q")).first()["q"]
-            splits = [-math.inf] + sorted(set(float(v) for v in cuts)) + [math.inf]
-            ranged = Bucketizer(splits=splits, inputCol="score", outputCol="r").transform(per)
-        else:
-            ranged = per.withColumn("r", F.lit(0.0))
-        # Counts in all higher ranges: one row per range (a proven bound).
+            only = math.nan if P + N == 0 else float(P > 0)
+            return {"area_roc": only, "area_pr": only}
+        cuts = sorted(set(float(v) for v in head["q"]))[:ranges - 1]
+        place = F.lit(0)
+        for c in cuts:
+            place = place + (F.col("score") > F.lit(c)).cast("int")
+        ranged = per.withColumn("r", place)
+        # Counts in all higher ranges: one row for each of the fixed number of ranges.
         totals = ranged.groupBy("r").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
         higher = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
         offsets = totals.select("r", F.coalesce(F.sum("rp").over(higher), F.lit(0)).alias("op"),

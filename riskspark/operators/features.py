@@ -13,90 +13,30 @@ from pyspark.ml.feature import StandardScaler, StandardScalerModel, StringIndexe
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.functions.columns import columns_of_types, numeric_columns
-
-# Fixed value: MLlib's default number of bins for tree learners; categorical
-# features with more values than this cannot be split.
-DEFAULT_MAX_BINS = 32
-
-
-class ArityError(ValueError):
-    """A categorical column has more values than the tree learner can bin."""
-
+from riskspark.functions.columns import numeric_columns
 
 def indexed_name(col: str) -> str:
     return f"{col}_indexed"
 
 
-def check_arity(df: DataFrame, cols: list[str], max_bins: int = DEFAULT_MAX_BINS,
-                rsd: float = 0.02, handle_invalid: str = "error") -> dict[str, int]:
-    """Approximate distinct counts (HyperLogLog, bounded memory) of the
-    columns to encode, checked before any label list is collected."""
-    if not cols:
-        return {}
-    row = df.agg(*[F.approx_count_distinct(c, rsd).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    counts = {c: int(row[f"d{i}"]) for i, c in enumerate(cols)}
-    extra = 1 if handle_invalid == "keep" else 0
-    slack = 1.0 + 3 * rsd
-    bad = {c: n for c, n in counts.items() if n + extra > max_bins * slack}
-    if bad:
-        raise ArityError(f"categorical columns exceed max_bins={max_bins}: {bad}")
-    return counts
-
-
-def fit_indexers(train: DataFrame, cols: list[str], handle_invalid: str = "error",
-                 max_bins: int | None = DEFAULT_MAX_BINS) -> StringIndexerModel | None:
+def fit_indexers(train: DataFrame, cols: list[str], handle_invalid: str = "error") -> StringIndexerModel | None:
     """One multi-column StringIndexer (one fit job for all columns).
 
     Order: most frequent first, ties alphabetical.  ``handle_invalid`` is
     'error' (unseen or missing values fail when an action runs), 'keep'
-    (they get index = number of labels) or 'skip' (the row is dropped)."""
+    (they get index = number of labels) or 'skip' (the row is dropped).  The
+    number of values is bounded by the use of the index alone: a tree checks it
+    against its bins (``models.fit_forest``), clustering takes any."""
     if not cols:
         return None
-    if max_bins is not None:
-        check_arity(train, cols, max_bins, handle_invalid=handle_invalid)
-    model = StringIndexer(inputCols=cols, outputCols=[indexed_name(c) for c in cols],
-                          handleInvalid=handle_invalid, stringOrderType="frequencyDesc").fit(train)
-    if max_bins is not None:
-        extra = 1 if handle_invalid == "keep" else 0
-        bad = {c: len(labels) + extra for c, labels in zip(cols, model.labelsArray)
-               if len(labels) + extra > max_bins}
-        if bad:
-            raise ArityError(f"categorical columns exceed max_bins={max_bins}: {bad}")
-    return model
-
-
-# Bound on label classes whose names are collected to the driver.
-MAX_CLASSES = 10_000
+    return StringIndexer(inputCols=cols, outputCols=[indexed_name(c) for c in cols],
+                         handleInvalid=handle_invalid, stringOrderType="frequencyDesc").fit(train)
 
 
 def fit_encoders(train: DataFrame, cols: list[str], label: str | None = None,
-                 handle_invalid: str = "error", max_bins: int | None = DEFAULT_MAX_BINS,
-                 max_classes: int = MAX_CLASSES) -> StringIndexerModel:
-    """E1 + E2 in one fit job: the categorical feature columns and the label
-    share one multi-column StringIndexer.  Arity is checked first with
-    HyperLogLog counts (features against ``max_bins``, the label against
-    ``max_classes``), so no unbounded label list reaches the driver."""
-    inputs = list(cols) + ([label] if label else [])
-    rsd = 0.02
-    row = train.agg(*[F.approx_count_distinct(c, rsd).alias(f"d{i}") for i, c in enumerate(inputs)]).first()
-    extra = 1 if handle_invalid == "keep" else 0
-    limits = {c: max_bins for c in cols if max_bins is not None}
-    if label:
-        limits[label] = max_classes
-    bad = {c: int(row[f"d{i}"]) for i, c in enumerate(inputs)
-           if c in limits and int(row[f"d{i}"]) + extra > limits[c] * (1.0 + 3 * rsd)}
-    if bad:
-        raise ArityError(f"too many distinct values (limits {limits}): {bad}")
-    model = StringIndexer(inputCols=inputs, outputCols=[indexed_name(c) for c in inputs],
-                          handleInvalid=handle_invalid, stringOrderType="frequencyDesc").fit(train)
-    if max_bins is not None:
-        extra = 1 if handle_invalid == "keep" else 0
-        bad = {c: len(labels) + extra for c, labels in zip(cols, model.labelsArray)
-               if len(labels) + extra > max_bins}
-        if bad:
-            raise ArityError(f"categorical columns exceed max_bins={max_bins}: {bad}")
-    return model
+                 handle_invalid: str = "error") -> StringIndexerModel:
+    """E1 + E2 in one fit job: the categorical feature columns and the label share one StringIndexer."""
+    return fit_indexers(train, list(cols) + ([label] if label else []), handle_invalid)
 
 
 def fit_label_indexer(train: DataFrame, label: str, out: str | None = None,
@@ -114,18 +54,19 @@ def index_map_frame(spark: SparkSession, model: StringIndexerModel, cols: list[s
 
 def feature_columns(df: DataFrame, indexed: list[str], exclude: Iterable[str] = (),
                     feature_types: Iterable[str] | None = None,
-                    duplicate_indexed: bool = False) -> list[str]:
+                    duplicate_indexed: bool = False, types: dict[str, str] | None = None) -> list[str]:
     """Encoded columns first, then the numeric columns, each once.
 
-    ``feature_types={'int', 'double'}`` keeps only those Spark types (the
-    reference's filter, which leaves out bigint columns); with
+    ``feature_types={'int', 'double'}`` keeps only those types (the
+    reference's filter, which leaves out bigint columns); ``types`` gives the type of a
+    column in the reference where it differs from the schema's.  With
     ``duplicate_indexed=True`` the encoded columns are listed a second time
     among the numeric ones, as the reference's list does."""
     skip = set(exclude)
+    numeric = numeric_columns(df, exclude=skip)
     if feature_types is not None:
-        numeric = columns_of_types(df, feature_types, exclude=skip)
-    else:
-        numeric = numeric_columns(df, exclude=skip)
+        schema = {f.name: f.dataType.simpleString() for f in df.schema.fields} | (types or {})
+        numeric = [c for c in numeric if schema[c] in set(feature_types)]
     if duplicate_indexed:
         return list(indexed) + numeric
     return list(indexed) + [c for c in numeric if c not in set(indexed)]

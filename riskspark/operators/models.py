@@ -34,9 +34,22 @@ class ForestParams:
     checkpoint_interval: int = 10
 
 
+class ArityError(ValueError):
+    """A categorical feature has more values than the trees have bins."""
+
+
+def check_arity(train: DataFrame, features: str, max_bins: int) -> None:
+    """Read from the vector's metadata, before any job runs."""
+    attrs = train.schema[features].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+    bad = {a.get("name", a["idx"]): len(a["vals"]) for a in attrs if len(a.get("vals", ())) > max_bins}
+    if bad:
+        raise ArityError(f"categorical features have more values than max_bins={max_bins}: {bad}")
+
+
 def fit_forest(train: DataFrame, label: str, features: str = "features",
                params: ForestParams = ForestParams()) -> RandomForestClassificationModel:
     """M1 / M3: fit a random-forest classifier."""
+    check_arity(train, features, params.max_bins)
     if params.cache_node_ids:
         checkpoint_dir(train.sparkSession)
     rf = RandomForestClassifier(

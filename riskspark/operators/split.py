@@ -54,16 +54,3 @@ def spread(df: DataFrame, partitions: int | None = None, *cols: str) -> DataFram
     if partitions is None:
         return df.hint("rebalance", *cols)
     return df.repartition(partitions, *cols)
-
-
-def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a coarse input before it is cached for repeated passes.
-
-    Only when the plan has fewer partitions than the cluster's default
-    parallelism (a small input, or a few unsplittable files) is it
-    repartitioned; a large, well-split input is left as it is, so no
-    shuffle is added at scale."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df

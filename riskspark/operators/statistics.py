@@ -29,6 +29,7 @@ Quantiles interpolate linearly between the two neighbouring order statistics
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,9 +37,8 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.columns import is_floating
 
-DEFAULT_BUCKETS = 16_384
+DEFAULT_BUCKETS = 1024
 DEFAULT_EXACT_LIMIT = 250_000
-MAX_ROUNDS = 80
 
 
 def value_expr(df: DataFrame, name: str) -> Column:
@@ -73,9 +73,8 @@ class _Range:
 
 
 def _explode(df: DataFrame, entries: list[Column]) -> DataFrame:
-    return (df.select(F.explode(F.array(*entries)).alias("e"))
-            .where(F.col("e").isNotNull())
-            .select("e.*"))
+    # Values outside every open range go before the rows are multiplied.
+    return df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
 
 
 def _rank_filter(ranges: list[_Range]) -> Column:
@@ -143,19 +142,28 @@ def order_statistics(df: DataFrame, ranks: dict[str, set[int]],
                      values: dict[str, Column] | None = None,
                      buckets: int = DEFAULT_BUCKETS,
                      exact_limit: int = DEFAULT_EXACT_LIMIT) -> dict[tuple[str, int], float]:
-    """Exact value at each 0-based rank (ascending, missing skipped) per column."""
+    """Exact value at each 0-based rank (ascending, missing skipped) per column.
+
+    Infinite values take the first and last ranks; the rounds narrow the finite
+    part, and each makes its ranges shorter, so they come to an end.
+    ``buckets`` and ``exact_limit`` decide how many rounds there are, never the values."""
     cols = [c for c in ranks if ranks[c]]
     xs = values or {c: value_expr(df, c) for c in cols}
     if stats is None:
         stats = count_min_max(df, cols, xs)
+    finite = _finite_parts(df, xs, {c: stats[c] for c in cols})
     pending = []
+    found: dict[tuple[str, int], float] = {}
     for c in cols:
-        n, lo, hi = stats[c]
+        n = int(stats[c][0])
+        below, count, lo, hi = finite[c]
         wanted = {k for k in ranks[c] if 0 <= k < n}
-        if n > 0 and wanted:
-            pending.append(_Range(c, float(lo), float(hi), 0, int(n), wanted))
-    found: dict[tuple[str, int], float] = {}
-    for _ in range(MAX_ROUNDS):
+        found.update({(c, k): -math.inf for k in wanted if k < below})
+        found.update({(c, k): math.inf for k in wanted if k >= below + count})
+        inside = {k for k in wanted if below <= k < below + count}
+        if inside:
+            pending.append(_Range(c, float(lo), float(hi), below, count, inside))
+    while pending:
         exact, hist = [], []
         for rg in pending:
             if rg.lo == rg.hi:
@@ -168,9 +176,24 @@ def order_statistics(df: DataFrame, ranks: dict[str, set[int]],
         if exact:
             found.update(_exact_round(df, xs, exact))
         pending = _histogram_round(df, xs, hist, buckets) if hist else []
-        if not pending:
-            return found
-    raise RuntimeError("order_statistics did not converge")
+    return found
+
+
+def _finite_parts(df: DataFrame, xs: dict[str, Column], stats: dict) -> dict[str, tuple[int, int, float, float]]:
+    """Per column: rows at minus infinity, finite rows, their min and max; reads the
+    table again only for columns that hold an infinity."""
+    out = {c: (0, int(n), lo, hi) for c, (n, lo, hi) in stats.items()}
+    odd = [c for c, (n, lo, hi) in stats.items() if n and (math.isinf(lo) or math.isinf(hi))]
+    if odd:
+        aggs = []
+        for i, c in enumerate(odd):
+            x = xs[c]
+            real = F.when(F.abs(x) < math.inf, x)
+            aggs += [F.count(F.when(x == -math.inf, 1)).alias(f"b{i}"), F.count(real).alias(f"n{i}"),
+                     F.min(real).alias(f"lo{i}"), F.max(real).alias(f"hi{i}")]
+        row = df.agg(*aggs).first()
+        out.update({c: (row[f"b{i}"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(odd)})
+    return out
 
 
 def _positions(n: int, probs: list[float]) -> list[tuple[float, int, int]]:
@@ -210,20 +233,58 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str =
         n = stats[c][0]
         ranks[c] = {k for _, lo, hi in _positions(n, probs) for k in (lo, hi)} if n > 0 else set()
     found = order_statistics(df, ranks, stats=stats, values=xs, buckets=buckets, exact_limit=exact_limit)
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        n = stats[c][0]
-        if n == 0:
-            out[c] = [None] * len(probs)
-            continue
-        vals = []
-        for pos, lo, hi in _positions(n, probs):
-            a, b = found[(c, lo)], found[(c, hi)]
-            d = pos - lo
+    return {c: _interpolate(stats[c][0], probs, lambda k, c=c: found[(c, k)]) for c in cols}
+
+
+def _interpolate(n: int, probs: list[float], value: Callable[[int], float]) -> list[float | None]:
+    """Quantiles of n values from the values at their ranks."""
+    if n == 0:
+        return [None] * len(probs)
+    vals = []
+    for pos, lo, hi in _positions(n, probs):
+        a, b = value(lo), value(hi)
+        d = pos - lo
+        if a == b or lo == hi:
+            vals.append(a)
+        elif math.isinf(a) or math.isinf(b):
+            vals.append((1.0 - d) * a + d * b)
+        else:
             # (1 - d) * a + d * b with the sum rounded once, as SQL engines compute it.
-            vals.append(a if lo == hi else math.fma(1.0 - d, a, b * d))
-        out[c] = vals
-    return out
+            vals.append(math.fma(1.0 - d, a, b * d))
+    return vals
+
+
+def medians_and_quartiles(df: DataFrame, medians: list[str], quartiles: list[str], filled: dict[str, tuple[int, int]],
+                          stats: dict[str, tuple[int, float | None, float | None]]) \
+        -> tuple[dict[str, float], dict[str, list[float | None]]]:
+    """Medians of columns with missing values, and quartiles of columns after these
+    are filled with their medians, from one search for ranks.
+
+    ``filled``: (present, missing) of the filled columns.  Filling n present values
+    with ``miss`` copies of their median puts the copies behind the first n // 2 values, so the
+    rank k of the filled column is raw rank k before the copies, the median in
+    them, and raw rank k - miss behind them."""
+    ranks: dict[str, set[int]] = {}
+    for c in medians:
+        ranks.setdefault(c, set()).update(k for _, lo, hi in _positions(stats[c][0], [0.5]) for k in (lo, hi))
+
+    def raw(c: str, k: int) -> int | None:
+        n, miss = filled.get(c, (stats[c][0], 0))
+        return k if k < n // 2 or not miss else k - miss if k >= n // 2 + miss else None
+
+    sizes = {c: sum(filled[c]) if c in filled else stats[c][0] for c in quartiles}
+    for c in quartiles:
+        if sizes[c]:
+            wanted = {raw(c, k) for _, lo, hi in _positions(sizes[c], [0.25, 0.75]) for k in (lo, hi)}
+            ranks.setdefault(c, set()).update(k for k in wanted if k is not None)
+    found = order_statistics(df, ranks, stats=stats) if ranks else {}
+    middle = {c: _interpolate(stats[c][0], [0.5], lambda k, c=c: found[(c, k)])[0] for c in medians}
+
+    def value(c: str, k: int) -> float:
+        r = raw(c, k)
+        return middle[c] if r is None else found[(c, r)]
+
+    return middle, {c: _interpolate(sizes[c], [0.25, 0.75], lambda k, c=c: value(c, k)) for c in quartiles}
 
 
 def modes(df: DataFrame, cols: list[str]) -> dict[str, tuple[str | None, int]]:

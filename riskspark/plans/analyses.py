@@ -18,6 +18,7 @@ projection -> hash split).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import StringIndexerModel
@@ -28,7 +29,7 @@ from riskspark.functions.columns import string_columns
 from riskspark.operators import chartdata, cluster, evaluate, features, models
 from riskspark.operators.clean import CleaningModel, fit_cleaning
 from riskspark.operators.profile import group_counts
-from riskspark.operators.split import ensure_parallel, spread, union_parts, with_split
+from riskspark.operators.split import hash_split, random_split, spread, union_parts, with_split
 from riskspark.roles import Roles
 
 
@@ -51,39 +52,59 @@ class Prepared:
 
 
 def prepare(df: DataFrame, roles: Roles, fraction: float = 0.8, split_key: str | list[str] | None = None,
-            clean: bool = True, handle_invalid: str = "error", max_bins: int = features.DEFAULT_MAX_BINS,
+            clean: bool = True, handle_invalid: str = "error",
             feature_types: list[str] | None = None, duplicate_indexed: bool = False,
-            exclude: tuple[str, ...] = (), quantile_method: str = "exact", persist: bool = True) -> Prepared:
+            exclude: tuple[str, ...] = (), quantile_method: str = "exact", persist: bool = True,
+            partitions: int | None = None, random_seed: int | None = None, fit_on_train: bool = False,
+            **cleaning_options) -> Prepared:
     """Clean, split, encode and assemble.
 
+    ``partitions``: deal the cleaned rows into so many (bagging follows
+    partitions, so the number is the caller's); ``random_seed``: the
+    reference's ``randomSplit`` instead of the hash split; ``fit_on_train``: cleaning
+    statistics from the training part alone (hash split only); ``cleaning_options``: those of ``fit_cleaning``
+    (``bad_time``, ``impute_id``, ``clip_label``, ``date_format``, ``time_format``).
+    ``feature_types`` filters by the types that columns have in the reference.
+
     The cleaned table, marked with a 'split' column and cut to the columns
-    the later steps read, is persisted once (spread over the cluster if the
-    source has few partitions): the encoder fit, its arity check, the
+    the later steps read, is persisted once: the encoder fit, the
     forest and the evaluations all read it.  The assembled table is a
     projection over it (string indexing and the assembler), with train and
     test as filters on the 'split' column."""
-    cleaning = fit_cleaning(df, roles, quantile_method=quantile_method) if clean else None
+    key = split_key if split_key is not None else roles.id
+    if fit_on_train and random_seed is not None:
+        raise ValueError("fit_on_train needs the hash split")
+    source = hash_split(df, key, fraction)[0] if fit_on_train else df
+    cleaning = fit_cleaning(source, roles, quantile_method=quantile_method, **cleaning_options) if clean else None
     cleaned = cleaning.transform(df) if cleaning else df
     skip = set(roles.named()) | set(roles.passthrough) | set(exclude)
     encoded = string_columns(cleaned, exclude=skip)
     label_index = features.indexed_name(roles.label)
     indexed = [features.indexed_name(c) for c in encoded]
 
-    marked = with_split(cleaned, split_key if split_key is not None else roles.id, fraction)
+    if random_seed is None:
+        marked = with_split(cleaned, key, fraction)
+    else:
+        train, test = random_split(cleaned, fraction, random_seed)
+        marked = union_parts(train.withColumn("split", F.lit("train")), test.withColumn("split", F.lit("test")))
     # The feature list depends on the schema only: the encoded columns are
     # doubles, so a schema with them stand-in as double literals decides it
     # before anything runs.
     shape = marked.select("*", *[F.lit(0.0).alias(c) for c in indexed])
     names = features.feature_columns(shape, indexed, exclude=skip | {label_index, "split"},
-                                     feature_types=feature_types, duplicate_indexed=duplicate_indexed)
+                                     feature_types=feature_types, duplicate_indexed=duplicate_indexed,
+                                     types=cleaning.reference_types() if cleaning else None)
     keep = list(dict.fromkeys([c for c in (roles.id, roles.label) if c] + encoded
                               + [c for c in names if c not in set(indexed)] + ["split"]))
     cached = None
     if persist:
-        cached = ensure_parallel(marked.select(*keep)).persist(StorageLevel.MEMORY_AND_DISK)
+        cached = marked.select(*keep)
+        if partitions is not None:
+            cached = cached.repartition(partitions)
+        cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
         marked = cached
     is_train = F.col("split") == "train"
-    encoders = features.fit_encoders(marked.where(is_train), encoded, roles.label, handle_invalid, max_bins)
+    encoders = features.fit_encoders(marked.where(is_train), encoded, roles.label, handle_invalid)
     coded = encoders.transform(marked)
     data = features.assemble(coded, names).select(
         *[c for c in dict.fromkeys([roles.id, roles.label, label_index]) if c], "features", "split")
@@ -120,40 +141,51 @@ def binary_report(prep: Prepared, params: models.ForestParams = models.ForestPar
             "top_features": chartdata.top_features(imp, top), "model": model}
 
 
-def clustering_report(train: DataFrame, test: DataFrame, keep: list[str], features_col: str = "features",
-                      k: int = 3, seed: int = 42, pca_k: int = 2, bins: int = 100,
-                      partitions: int | None = None, whole: DataFrame | None = None) -> dict:
-    """Scale (fit on train) -> K-Means on train + test -> sizes, centres,
-    PCA variance, projected centres and binned scatter.  ``keep`` columns
-    (the row id) travel with each point, so a cluster joins back to its row.
-
-    ``whole``: when train and test are two filters of one table that
-    together keep every row (a split column), pass that table; it is then
-    read once instead of once per part (the union of the parts is that
-    table)."""
-    spark = train.sparkSession
-    scaler = features.fit_scaler(train, features_col)
-    if whole is not None:
-        both = scaler.transform(whole).select(*keep, "scaledFeatures")
-    else:
-        both = union_parts(scaler.transform(train).select(*keep, "scaledFeatures"),
-                           scaler.transform(test).select(*keep, "scaledFeatures"))
-    # K-Means and PCA both read the scaled vectors; keep them once (the
-    # caller releases ``data`` when the report tables are written).
-    data = spread(both, partitions).persist(StorageLevel.MEMORY_AND_DISK)
-    km = cluster.fit_kmeans(data, "scaledFeatures", k=k, seed=seed)
-    assigned = km.transform(data)
-    pca = cluster.fit_pca(assigned, "scaledFeatures", k=pca_k)
-    points = cluster.project_xy(assigned, pca, keep + [F.col("prediction").alias("cluster")])
-    cents = cluster.project_xy(cluster.centers_frame(spark, km), pca, ["cluster"])
-    return {
-        "sizes": chartdata.cluster_sizes(assigned),
-        "centers": cluster.centers_rounded(spark, km),
-        "explained": cluster.explained_frame(spark, pca),
-        "centers_xy": cents,
-        "scatter": chartdata.cluster_scatter(points, cents, bins),
-        "points": points,
-        "data": data,
-        "kmeans": km,
-        "pca": pca,
-    }
+class Clustering:
+    """Scale (fit on train), K-Means and PCA on train + test, centres and chart
+    tables.  Each step runs when it is first asked for, so a caller that wants
+    sizes fits no PCA.  ``keep`` columns (the row id) travel with each point.
+
+    ``partitions``: deal the scaled vectors into so many before the fits."""
+
+    def __init__(self, marked: DataFrame, keep: list[str], features_col: str = "features", k: int = 3, seed: int = 42,
+                 pca_k: int = 2, bins: int = 100, partitions: int | None = None):
+        self.spark, self.keep, self.k, self.seed, self.pca_k, self.bins = marked.sparkSession, keep, k, seed, pca_k, bins
+        scaler = features.fit_scaler(marked.where(F.col("split") == "train"), features_col)
+        self.scaled = scaler.transform(marked).select(*keep, "scaledFeatures")
+        spread_out = self.scaled if partitions is None else spread(self.scaled, partitions)
+        # K-Means reads the scaled vectors again and again, PCA twice.
+        self.data = spread_out.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        self.data.unpersist()
+
+    @cached_property
+    def kmeans(self):
+        return cluster.fit_kmeans(self.data, "scaledFeatures", k=self.k, seed=self.seed)
+
+    @cached_property
+    def pca(self):
+        return cluster.fit_pca(self.data, "scaledFeatures", k=self.pca_k)
+
+    @property
+    def assigned(self) -> DataFrame:
+        return self.kmeans.transform(self.data)
+
+    def sizes(self) -> DataFrame:
+        return chartdata.cluster_sizes(self.assigned)
+
+    def centers(self, digits: int = 2) -> DataFrame:
+        return cluster.centers_rounded(self.spark, self.kmeans, digits)
+
+    def explained(self) -> DataFrame:
+        return cluster.explained_frame(self.spark, self.pca)
+
+    def points(self) -> DataFrame:
+        return cluster.project_xy(self.assigned, self.pca, self.keep + [F.col("prediction").alias("cluster")])
+
+    def centers_xy(self) -> DataFrame:
+        return cluster.project_xy(cluster.centers_frame(self.spark, self.kmeans), self.pca, ["cluster"])
+
+    def scatter(self) -> DataFrame:
+        return chartdata.cluster_scatter(self.points(), self.centers_xy(), self.bins)

@@ -1,16 +1,12 @@
 """Session helpers for tests, the bench and the examples.
 
 Library functions never create a session themselves; they use the one their
-input ``DataFrame`` belongs to.  On a cluster the checkpoint folder comes from
-``spark.checkpoint.dir`` (a shared folder); we only pick our own when the
-session has none, as in local tests.
+input ``DataFrame`` belongs to.  The checkpoint folder comes from
+``spark.checkpoint.dir`` (a shared folder on a cluster).
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -36,12 +32,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing a scratch one only if none is set."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``; an error if it names none."""
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        # Local tests only: the session names no shared folder.
-        path = tempfile.mkdtemp(prefix="riskspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    return sc.getCheckpointDir()

@@ -4,9 +4,10 @@ literal table of k vectors (S4)."""
 from __future__ import annotations
 
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from riskspark.roles import Roles
 
@@ -15,38 +16,81 @@ class SourceError(RuntimeError):
     """The input could not be read; raised instead of printing and exiting."""
 
 
-def _text_roles(schema: T.StructType, roles: Roles) -> T.StructType:
-    """Keep the date and time role columns as text; they are parsed later
-    with explicit formats (CSV inference would read '08:05:00' as a
-    timestamp on today's date)."""
-    keep_text = {c for c in (roles.date, roles.time) if c}
-    return T.StructType([
-        T.StructField(f.name, T.StringType(), True) if f.name in keep_text else f
-        for f in schema.fields
-    ])
+# The texts that pandas reads as missing.
+NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+             "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              roles: Roles = Roles(), infer: bool = False, mode: str = "FAILFAST",
-             sampling_ratio: float = 1.0) -> DataFrame:
-    """Read a CSV file or folder with a header line.
-
-    With ``schema`` the read is a single pass with no inference.  Without it,
-    ``infer=True`` infers types (one extra pass over ``sampling_ratio`` of the
-    data) and then forces the date and time role columns to text; with
-    neither, every column is text.  ``mode='FAILFAST'`` makes malformed rows
-    fail the job instead of turning into NULLs."""
-    reader = spark.read.option("header", True).option("mode", mode)
+             multi_line: bool = False, na_tokens: tuple[str, ...] = NA_TOKENS, probe: bool = False) -> DataFrame:
+    """Read a CSV file or folder with a header line, as its users have it.
+
+    Every field is read as text, columns by the header's names; quotes
+    inside quoted fields are doubled; ``multi_line`` allows line ends inside them (a file is
+    then one task).  Missing-value texts become NULL, and only then are columns
+    typed: by ``schema`` (matched by name, extra file columns are left out), or with
+    ``infer=True`` as whole numbers, numbers or text by one pass over all rows; with neither every
+    column stays text.  The date and time roles stay text; they are parsed later with explicit formats.
+
+    ``mode='FAILFAST'`` makes malformed rows and values that don't fit their type fail, others
+    give NULL.  A path that can't be read or a missing column is a ``SourceError`` now; bad rows
+    are one too with ``probe=True`` (a pass over the file), else the job that meets them fails."""
+    reader = spark.read.option("header", True).option("mode", mode).option("escape", '"').option("quote", '"') \
+                       .option("multiLine", multi_line).option("enforceSchema", False)
     try:
-        if schema is not None:
-            return reader.schema(schema).csv(path)
-        if infer:
-            inferred = (spark.read.option("header", True).option("inferSchema", True)
-                        .option("samplingRatio", sampling_ratio).csv(path).schema)
-            return reader.schema(_text_roles(inferred, roles)).csv(path)
-        return reader.csv(path)
+        raw = reader.csv(path)
     except AnalysisException as exc:
         raise SourceError(f"cannot read {path}: {exc}") from exc
+    raw = raw.select(*[F.when(~F.col(f"`{c}`").isin(*na_tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    keep_text = {c for c in (roles.date, roles.time) if c}
+    if schema is not None:
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        absent = [f.name for f in wanted.fields if f.name not in raw.columns]
+        if absent:
+            raise SourceError(f"{path} has no columns {absent}")
+        kinds = {f.name: f.dataType for f in wanted.fields}
+    elif infer:
+        kinds = _inferred(raw, keep_text)
+    else:
+        kinds = {c: T.StringType() for c in raw.columns}
+    out = raw.select(*[_typed(c, T.StringType() if c in keep_text else t, mode).alias(c) for c, t in kinds.items()])
+    if probe:
+        try:
+            out.write.format("noop").mode("overwrite").save()
+        except Exception as exc:      # Spark names a bad row's fault by several classes
+            raise SourceError(f"cannot read {path}: {exc}") from exc
+    return out
+
+
+def _typed(name: str, kind: T.DataType, mode: str) -> Column:
+    c = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        return c
+    if mode == "FAILFAST":
+        bad = F.raise_error(F.concat(F.lit(f"column {name} can't hold "), c)).cast(kind)
+        return F.when(c.isNotNull() & c.try_cast(kind).isNull(), bad).otherwise(c.try_cast(kind))
+    return c.try_cast(kind)
+
+
+def _inferred(raw: DataFrame, keep_text: set[str]) -> dict[str, T.DataType]:
+    """Whole numbers if all values are, else numbers if all are, else text; one aggregate over all rows."""
+    if not raw.columns:
+        return {}
+    aggs = []
+    for i, c in enumerate(raw.columns):
+        x = F.col(f"`{c}`")
+        aggs += [F.count(x).alias(f"n{i}"), F.count(x.try_cast("bigint")).alias(f"i{i}"),
+                 F.count(x.try_cast("double")).alias(f"d{i}"), F.count(F.when(x.contains("."), x)).alias(f"p{i}")]
+    row = raw.agg(*aggs).first()
+    out: dict[str, T.DataType] = {}
+    for i, c in enumerate(raw.columns):
+        n = row[f"n{i}"]
+        if c in keep_text or row[f"d{i}"] < n:
+            out[c] = T.StringType()
+        else:
+            out[c] = T.LongType() if n and row[f"i{i}"] == n and not row[f"p{i}"] else T.DoubleType()
+    return out
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

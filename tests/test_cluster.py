@@ -1,9 +1,6 @@
-"""K-Means, PCA and the fixed-start Lloyd variant, checked by properties and
-against a brute-force numpy version on a small fixture."""
+"""K-Means and PCA, checked by properties on a small fixture."""
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 from riskspark.functions.vectors import to_vector
 from riskspark.operators import cluster
@@ -17,51 +14,6 @@ def _points(spark, n=300, d=4, seed=3):
     return df, pts
 
 
-def _numpy_lloyd(pts, init, iters):
-    cents = np.array(init, dtype=float)
-    for _ in range(iters):
-        d = ((pts[:, None, :] - cents[None, :, :]) ** 2).sum(-1)
-        lab = d.argmin(1)
-        new = cents.copy()
-        for j in range(len(cents)):
-            if (lab == j).any():
-                new[j] = pts[lab == j].mean(0)
-        shift = ((new - cents) ** 2).sum(1).max()
-        cents = new
-        if shift <= 1e-8:
-            break
-    return cents
-
-
-def test_nearest_matches_brute_force(spark):
-    df, pts = _points(spark)
-    init = cluster.first_rows_as_centers(df, "x", "id", 3)
-    got = [r[0] for r in df.orderBy("id").select(cluster.nearest(F.col("x"), init)).collect()]
-    d = ((pts[:, None, :] - np.array(init)[None, :, :]) ** 2).sum(-1)
-    assert got == list(d.argmin(1))
-
-
-def test_lloyd_matches_numpy(spark):
-    df, pts = _points(spark)
-    init = cluster.first_rows_as_centers(df, "x", "id", 3)
-    cents, rounds = cluster.lloyd(df, "x", init, max_iter=30, tol=1e-4)
-    want = _numpy_lloyd(pts, init, rounds)
-    assert np.allclose(np.array(cents), want, atol=1e-9)
-
-
-def test_unrolled_and_array_distance_agree(spark):
-    df, _ = _points(spark, n=20, d=5)
-    c = [0.5, -1.0, 2.0, 0.0, 3.0]
-    a = df.select(cluster.squared_distance(F.col("x"), c).alias("d")).collect()
-    old = cluster.UNROLL_LIMIT
-    cluster.UNROLL_LIMIT = 1
-    try:
-        b = df.select(cluster.squared_distance(F.col("x"), c).alias("d")).collect()
-    finally:
-        cluster.UNROLL_LIMIT = old
-    assert [r[0] for r in a] == pytest.approx([r[0] for r in b], abs=1e-12)
-
-
 def test_kmeans_pca_properties(spark):
     df, _ = _points(spark, n=240, d=4)
     vec = df.select("id", to_vector("x").alias("scaledFeatures"))
@@ -85,3 +37,26 @@ def test_kmeans_pca_properties(spark):
         assert col[np.argmax(np.abs(col))] > 0
     xy = cluster.project_xy(vec, pca, ["id"])
     assert xy.count() == 240 and set(xy.columns) == {"id", "pca_x", "pca_y"}
+
+
+def test_many_categories_go_into_clustering(spark):
+    """Trees bound the number of categories, clusterings don't."""
+    import pytest
+
+    from riskspark.operators import models
+    from riskspark.plans import analyses
+    from riskspark.roles import Roles
+    rows = [(i, "ab"[i % 2], f"c{i % 40}", float(i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, lab string, cat string, x double")
+    prep = analyses.prepare(df, Roles(id="id", label="lab"))
+    try:
+        c = analyses.Clustering(prep.data, ["id"], partitions=3)
+        assert sum(r["n"] for r in c.sizes().collect()) == 400
+        assert "pca" not in vars(c)                      # sizes fit no PCA
+        c.release()
+        with pytest.raises(models.ArityError):
+            analyses.multiclass_report(prep)
+        wide = analyses.multiclass_report(prep, models.ForestParams(num_trees=2, max_bins=64))
+        assert wide["metrics"].count() == 1
+    finally:
+        prep.release()

@@ -22,10 +22,9 @@ def test_unseen_category_error_and_keep(spark):
     assert got == {"z": 3.0, "a": 1.0}
 
 
-def test_high_arity_rejected_before_fit(spark):
-    df = spark.createDataFrame([(f"c{i}",) for i in range(40)], "s string")
-    with pytest.raises(features.ArityError):
-        features.fit_indexers(df, ["s"], max_bins=32)
+def test_label_with_many_classes(spark):
+    df = spark.range(0, 10_001).select(F.concat(F.lit("c"), F.col("id")).alias("lab"))
+    assert len(features.fit_encoders(df, [], "lab").labelsArray[0]) == 10_001
 
 
 def test_feature_list_once_or_twice(spark):
@@ -66,10 +65,11 @@ def test_confusion_metrics_fixture(spark):
     row = evaluate.accuracy_f1(df, "label").first()
     assert row["accuracy"] == pytest.approx(0.5714285714, abs=1e-9)
     assert row["f1"] == pytest.approx(0.5904761905, abs=1e-9)
-    ml = evaluate.mllib_multiclass(df.select(F.col("label").cast("double"), F.col("prediction").cast("double")),
-                                   "label")
-    assert ml["accuracy"] == pytest.approx(row["accuracy"], abs=1e-12)
-    assert ml["f1"] == pytest.approx(row["f1"], abs=1e-12)
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    pred = df.select(F.col("label").cast("double"), F.col("prediction").cast("double"))
+    for metric in ("accuracy", "f1"):
+        ml = MulticlassClassificationEvaluator(labelCol="label", metricName=metric).evaluate(pred)
+        assert ml == pytest.approx(row[metric], abs=1e-12)
 
 
 def test_roc_pr_fixture(spark):
@@ -80,8 +80,8 @@ def test_roc_pr_fixture(spark):
     assert areas["area_pr"] == pytest.approx(0.7693452381, abs=1e-9)
 
 
-@pytest.mark.parametrize("range_rows,min_rows", [(1_000_000, 10_000), (7, 3)])
-def test_exact_areas_match_mllib_unbinned(spark, range_rows, min_rows):
+@pytest.mark.parametrize("ranges", [1, 2, 7, 64, 500])
+def test_exact_areas_match_mllib_unbinned(spark, ranges):
     """One-pipeline exact areas equal MLlib's unbinned evaluator, also when
     the scores are cut into many ranges; ties and a hot score included."""
     import random
@@ -89,12 +89,35 @@ def test_exact_areas_match_mllib_unbinned(spark, range_rows, min_rows):
     rnd = random.Random(3)
     rows = [(float(rnd.random() < 0.4), round(rnd.random(), 2)) for _ in range(400)] + [(1.0, 0.5)] * 150
     df = spark.createDataFrame(rows, "label double, score double").repartition(4)
-    got = evaluate.exact_areas(df, "label", "score", range_rows=range_rows, min_range_rows=min_rows)
+    got = evaluate.exact_areas(df, "label", "score", ranges=ranges)
     for metric, key in (("areaUnderROC", "area_roc"), ("areaUnderPR", "area_pr")):
         ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score", metricName=metric, numBins=0)
         assert got[key] == pytest.approx(ev.evaluate(df), abs=1e-12)
 
 
+@pytest.mark.parametrize("label", [0.0, 1.0])
+def test_one_class_areas_are_mllibs(spark, label):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    df = spark.createDataFrame([(label, 0.1 * i) for i in range(9)], "label double, score double")
+    got = evaluate.exact_areas(df, "label", "score")
+    for metric, key in (("areaUnderROC", "area_roc"), ("areaUnderPR", "area_pr")):
+        ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score", metricName=metric, numBins=0)
+        assert got[key] == ev.evaluate(df)
+
+
+@pytest.mark.parametrize("ranges", [1, 64])
+def test_areas_leave_out_missing_and_take_infinite_scores(spark, ranges):
+    rows = [(float(i % 3 == 0), float(i * 37 % 101)) for i in range(200)]
+    odd = [(None, 5.0), (None, 1000.0), (1.0, None), (0.0, float("nan")), (1.0, float("nan"))]
+    ends = [(1.0, float("inf")), (0.0, float("-inf"))]
+    frame = lambda x: spark.createDataFrame(x, "label double, score double")
+    got = evaluate.exact_areas(frame(rows + odd + ends), "label", "score", ranges=ranges)
+    want = evaluate.exact_areas(frame(rows + [(1.0, 1e9), (0.0, -1e9)]), "label", "score")
+    assert got == pytest.approx(want, abs=1e-12)
+    import math
+    assert math.isnan(evaluate.exact_areas(frame(odd), "label", "score")["area_roc"])
+
+
 def test_exact_areas_vector_score(spark):
     from pyspark.ml.linalg import VectorUDT
     from pyspark.sql.types import DoubleType, StructField, StructType
@@ -146,7 +169,7 @@ def test_prepare_features_match_assembled_schema(spark, opts):
     try:
         coded = prep.encoders.transform(prep.cached)
         want = features.feature_columns(coded, ["cat_indexed"], exclude={"id", "lab", "lab_indexed", "split"},
-                                        **opts)
+                                        types=prep.cleaning.reference_types(), **opts)
         assert prep.feature_names == want
         got = prep.data.select(vector_to_array("features").alias("v"), "id").orderBy("id").first()
         row = coded.where("id = 0").first()

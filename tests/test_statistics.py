@@ -7,7 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from riskspark.operators.statistics import modes, order_statistics, quantiles
+from riskspark.operators.statistics import medians_and_quartiles, modes, order_statistics, quantiles
 
 
 def test_mode_tie_takes_lowest(spark):
@@ -75,3 +75,36 @@ def test_skewed_column_third_of_rows_one_value(spark):
     got = quantiles(df, ["x"], [0.25, 0.5, 0.75], buckets=8, exact_limit=100)["x"]
     assert got == pytest.approx(list(np.quantile(np.array(vals), [0.25, 0.5, 0.75])), abs=1e-9)
     assert modes(df, ["s"])["s"] == ("hot", 3000)
+
+
+@pytest.mark.parametrize("limit", [1, 1_000_000])
+def test_infinite_values_like_numpy(spark, limit):
+    inf = float("inf")
+    for values in ([*range(1000), inf], [-inf, -inf, 1.0, 2.0, inf], [inf, inf], [-inf, 3.0], [0.0] * 50 + [inf] * 50):
+        df = spark.createDataFrame([(float(v),) for v in values], "x double")
+        got = quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75, 1.0], buckets=4, exact_limit=limit)["x"]
+        assert got == pytest.approx(_linear(values, (0.0, 0.25, 0.5, 0.75, 1.0)), nan_ok=True)
+
+
+def _linear(values, probs):
+    v = sorted(map(float, values))
+    out = []
+    for p in probs:
+        pos = p * (len(v) - 1)
+        lo = int(pos)
+        hi = min(lo + (pos > lo), len(v) - 1)
+        out.append(v[lo] if v[lo] == v[hi] else (1 - (pos - lo)) * v[lo] + (pos - lo) * v[hi])
+    return out
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(-5, 5).map(float), min_size=1, max_size=25), st.integers(0, 30))
+def test_quartiles_of_filled_columns_from_raw_ranks(spark, values, miss):
+    """As if the column had been filled with its median first."""
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * miss, "x double")
+    n = len(values)
+    stats = {"x": (n, min(values), max(values))}
+    medians, quartiles = medians_and_quartiles(df, ["x"], ["x"], {"x": (n, miss)}, stats)
+    middle = _linear(values, [0.5])[0]
+    assert medians["x"] == pytest.approx(middle)
+    assert quartiles["x"] == pytest.approx(_linear(values + [middle] * miss, [0.25, 0.75]))
