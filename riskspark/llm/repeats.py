@@ -35,12 +35,13 @@ from riskspark.llm.textkernel import prefix_hash, range_hash
 @dataclass(frozen=True)
 class RepeatParams:
     """``length``: bytes of a window; ``gram``: bytes of an anchor; ``group``: most
-    contexts in one suffix array; ``parts``: widths of the ranges that split larger groups (the last must be 1)."""
+    contexts in one suffix array; ``parts``: widths of the ranges that split larger
+    groups, again and again (the last must be 1).  A half of the range is enough for groups that share a common line only."""
 
     length: int = 400
     gram: int = 100
-    group: int = 512
-    parts: tuple[int, ...] = (32, 1)
+    group: int = 1000
+    parts: tuple[int, ...] = (151, 38, 10, 1)
 
     @property
     def reach(self) -> int:
@@ -79,6 +80,15 @@ def anchors(data: np.ndarray, off: np.ndarray, p: RepeatParams) -> tuple[np.ndar
 _ANCHOR = "hash long, context binary, node binary, place long, left int, size int"
 
 
+def _anchor_hashes(p: RepeatParams):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, off in text_blocks(batch.column(0)):
+                _, _, hashes = anchors(data, off, p)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
+    return run
+
+
 def _anchor_rows(p: RepeatParams):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,6 +130,16 @@ def _common(a: bytes, b: bytes) -> int:
     return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
 
 
+def _shared(strings: list[bytes]) -> list[int]:
+    """For each string, the longest prefix it has in common with another of the list."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    out = [0] * len(strings)
+    for i, j in zip(order, order[1:]):
+        n = _common(strings[i], strings[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
 def covered(contexts: list[tuple[int, bytes, bytes, int]], length: int) -> list[list[tuple[int, int]]]:
     """Per context (bytes before the anchor, bytes, its text's node, where it starts there): the ranges,
     relative to the context's start, of strings of ``length`` bytes that the group holds at another place too.
@@ -127,15 +147,25 @@ def covered(contexts: list[tuple[int, bytes, bytes, int]], length: int) -> list[
     The contexts are cut where any two part, counted from the anchor; a segment's
     bytes are one symbol, and a repeat around the anchor is made of whole segments.
     Contexts of one text may overlap; a place met through two of them is one place."""
-    lefts = sorted({body[:left][::-1] for left, body, _, _ in contexts})
-    rights = sorted({body[left:] for left, body, _, _ in contexts})
+    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    # How far each context goes along with any other to the left and to the right; what lies behind is in no repeat
+    # around the anchor, and a context that can't reach the length is in none at all.
+    left_most = _shared([body[:left][::-1] for left, body, _, _ in contexts])
+    right_most = _shared([body[left:] for left, body, _, _ in contexts])
+    able = [i for i in range(len(contexts)) if left_most[i] + right_most[i] >= length]
+    if len(able) < 2:
+        return out
+    lefts = sorted({contexts[i][1][contexts[i][0] - left_most[i]:contexts[i][0]][::-1] for i in able})
+    rights = sorted({contexts[i][1][contexts[i][0]:contexts[i][0] + right_most[i]] for i in able})
     cut_left = sorted({_common(a, b) for a, b in zip(lefts, lefts[1:])})
     cut_right = sorted({_common(a, b) for a, b in zip(rights, rights[1:])})
     name: dict[tuple[int, bytes], int] = {}
     text, weight, owner, start = [], [], [], []
-    for i, (left, body, _, _) in enumerate(contexts):
-        bounds = sorted({0, len(body), left, *(left - c for c in cut_left if c < left),
-                         *(left + c for c in cut_right if left + c < len(body))})
+    for i in able:
+        left, body, _, _ = contexts[i]
+        low, high = left - left_most[i], left + right_most[i]
+        bounds = sorted({low, high, left, *(left - c for c in cut_left if left - c > low),
+                         *(left + c for c in cut_right if left + c < high)})
         for a, b in zip(bounds, bounds[1:]):
             text.append(name.setdefault((b - a, body[a:b]), len(name) + 1))
             weight.append(b - a)
@@ -144,10 +174,9 @@ def covered(contexts: list[tuple[int, bytes, bytes, int]], length: int) -> list[
         text.append(-1 - i)                         # ends a context, unlike any other symbol
         weight.append(0)
         owner.append(i)
-        start.append(len(body))
+        start.append(high)
     order = suffix_array(text)
     near = longest_common(text, order, weight)
-    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
 
     def place(s: int) -> tuple[bytes, int]:
         _, _, node, begin = contexts[owner[s]]
@@ -203,8 +232,10 @@ def _split_rows(width: int, p: RepeatParams):
             for row in batch.to_pylist():
                 left, body = row["left"], row["body"]
                 for x in range(0, p.reach + 1, width):           # windows that start x to x + width - 1 before the anchor
+                    if x > left:
+                        break
                     widest = min(x + width - 1, left)
-                    if widest < x or left - widest + p.length > len(body):
+                    if left - widest + p.length > len(body):
                         continue
                     core = body[left - x:left - x - (width - 1) + p.length]
                     a, b = left - widest, min(len(body), left - x + p.length)
@@ -232,9 +263,10 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", p: RepeatParams = R
     ``node`` stands for the text (``text_node``)."""
     texts = docs.select(text_node(F.col(f"`{text_col}`")).alias("node"), text_or_empty(f"`{text_col}`").alias("text")) \
                 .where(F.octet_length("text") >= p.length)
-    every = map_arrow(texts, _anchor_rows(p), _ANCHOR)
-    again = every.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash")
-    found = cut(every.join(again, "hash"))
+    # Counted by hash alone first; the second reading makes contexts, most of which find no equal hash.
+    again = map_arrow(texts.select("text"), _anchor_hashes(p), "hash long").groupBy("hash").agg(
+        F.count(F.lit(1)).alias("c")).where("c > 1").select("hash")
+    found = cut(map_arrow(texts, _anchor_rows(p), _ANCHOR).join(again, "hash"))
     kinds = found.groupBy("hash", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "place", "left", "size")).alias("one"))
     kinds = cut(kinds.select("hash", "context", "n", "one.*"))
