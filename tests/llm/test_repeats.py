@@ -57,7 +57,7 @@ def test_against_all_windows(spark, alphabet, group):
         texts.append("".join(parts))
     texts += [None, "", "x" * 23, "x" * 24, "y" * 60, texts[0], texts[1], texts[1]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    p = RepeatParams(length=24, gram=6, group=group, parts=(4, 1))
+    p = RepeatParams(length=24, gram=6, group=group, parts=(7, 3, 1))
     got = {x.row.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in remove_repeats(df, p=p).collect()}
     assert got == dict(enumerate(brute(texts, 24)))
 

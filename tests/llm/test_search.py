@@ -32,7 +32,7 @@ def test_small_tables_are_exact(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).tolist(), 0) for i in range(120)]
     rows += [(200 + i, [0.5] * 6, 0) for i in range(60)]                       # ties: one vector, many ids
-    rows += [(400, [0.0] * 6, 0), (420, None, 0), (440, [1.0, None, 0, 0, 0, 0], 0), (460, [float("nan")] * 6, 0),
+    rows += [(400, [0.0] * 6, 0), (420, None, 0), (440, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (460, [float("nan")] * 6, 0),
              (480, [float("inf")] * 6, 0), (None, [1.0] * 6, 0), (500, [3.0, 1.0], 0), (501, [2.0, 1.0], 0)]
     got, want = found(search_report(frame(spark, rows))), brute(rows)
     assert set(got) == set(want)
