@@ -11,9 +11,10 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
-                  driver_memory: str = "8g", app: str = "riskspark") -> SparkSession:
+                  driver_memory: str = "8g", app: str = "riskspark",
+                  extra: dict[str, str] | None = None) -> SparkSession:
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.config(map=extra or {}).master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -12,8 +12,16 @@ SF0001 = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def event_log(tmp_path_factory):
+    """Spark's event log of the test session: the plans of all jobs that run, those inside model fits too."""
+    return tmp_path_factory.mktemp("events")
+
+
+@pytest.fixture(scope="session")
+def spark(event_log):
     from riskspark.session import local_session
-    s = local_session(cores="*", shuffle_partitions=8, driver_memory="8g", app="riskspark-tests")
+    log = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_log.as_uri(), "spark.eventLog.compress": "false",
+           "spark.eventLog.rolling.enabled": "false"}
+    s = local_session(cores="*", shuffle_partitions=8, driver_memory="8g", app="riskspark-tests", extra=log)
     yield s
     s.stop()
