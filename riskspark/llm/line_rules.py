@@ -156,8 +156,10 @@ def quality_report(docs: DataFrame) -> DataFrame:
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
-pos AS (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w),
-win AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS c FROM pos),
+wd AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+run AS (SELECT r, i, {" || ' ' || ".join(f"lead(word, {k}) OVER o" for k in range(WINDOW))} AS k FROM wd
+        WINDOW o AS (PARTITION BY r ORDER BY i)),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM run WHERE k IS NOT NULL),
 rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS k FROM win WHERE c > 1) GROUP BY r),
 lines AS (SELECT r, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
 ln AS (
