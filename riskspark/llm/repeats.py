@@ -264,8 +264,9 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", p: RepeatParams = R
     texts = docs.select(text_node(F.col(f"`{text_col}`")).alias("node"), text_or_empty(f"`{text_col}`").alias("text")) \
                 .where(F.octet_length("text") >= p.length)
     # Counted by hash alone first; the second reading makes contexts, most of which find no equal hash.
-    again = map_arrow(texts.select("text"), _anchor_hashes(p), "hash long").groupBy("hash").agg(
-        F.count(F.lit(1)).alias("c")).where("c > 1").select("hash")
+    # Cut, so that both sides of the join are dealt out for it and a hash held by many anchors can be split.
+    again = cut(map_arrow(texts.select("text"), _anchor_hashes(p), "hash long").groupBy("hash").agg(
+        F.count(F.lit(1)).alias("c")).where("c > 1").select("hash"))
     found = cut(map_arrow(texts, _anchor_rows(p), _ANCHOR).join(again, "hash"))
     kinds = found.groupBy("hash", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "place", "left", "size")).alias("one"))
