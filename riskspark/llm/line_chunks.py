@@ -79,7 +79,8 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                                               pa.array(found, pa.binary())], names=["key", "place", "digest"])
 
     slim = cut(map_arrow(rows.select("key", "text"), digests, "key binary, place int, digest binary"))
-    again = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    # Cut, like the first occurrences below: both sides of the joins are dealt out for them, and a hot digest can be split.
+    again = cut(slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
     suspects = slim.join(again, "digest").select("key", "place").distinct() \
                    .groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
@@ -102,7 +103,7 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     held = rows.join(suspects, "key").select("key", "id", "text", "places")
     occ = cut(map_arrow(held, occurrences, "key binary, id long, place int, digest binary, body binary"))
     # A digest's first bytes travel with its first occurrence; partial minima leave one row per digest and task.
-    first = occ.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "place", "body")).alias("first"))
+    first = cut(occ.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "place", "body")).alias("first")))
     o, f = occ.alias("o"), first.alias("f")
     later = (F.col("o.key") != F.col("f.first.key")) | (F.col("o.place") != F.col("f.first.place"))
     gone = o.join(f, F.col("o.digest") == F.col("f.digest")).where(later & (F.col("o.body") == F.col("f.first.body"))) \
