@@ -43,6 +43,11 @@ class RepeatParams:
     group: int = 1000
     parts: tuple[int, ...] = (151, 38, 10, 1)
 
+    def members(self, width: int) -> int:
+        """Most contexts in one suffix array after a split: contexts of a part agree
+        but for ``width`` bytes at either end, so they have that many segments at most."""
+        return min(self.group * (self.length + self.reach) // (2 * width), 10 * self.group)
+
     @property
     def reach(self) -> int:
         """How far before its anchor a window can start."""
@@ -210,7 +215,7 @@ def _cover_rows(length: int):
                 rows = members.as_py()
                 for row, ranges in zip(rows, covered(
                         [(r["left"], r["body"], r["node"], r["place"] - r["left"]) for r in rows], length)):
-                    for a, b in ranges if row["n"] == 1 else ():
+                    for a, b in _merge(ranges) if row["n"] == 1 else ():
                         nodes.append(row["node"])
                         begins.append(row["place"] - row["left"] + a)
                         ends.append(row["place"] - row["left"] + b)
@@ -298,7 +303,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", p: RepeatParams = R
         covers.append(parts.where("n = 1").join(spans.where("n > 1").select("core", "span"), ["core", "span"]).select(
             "node", (F.col("place") - F.col("left")).alias("begin"),
             (F.col("place") - F.col("left") + F.octet_length("body")).alias("end")))
-        small, large = _groups(spans.drop("span"), p.group)
+        small, large = _groups(spans.drop("span"), p.members(width))
         covers.append(map_arrow(small, _cover_rows(p.length), _COVER))
     out = covers[0]
     for c in covers[1:]:
