@@ -50,7 +50,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their SentencePiece ids, and whether decoding gives the text back."""
-    return pieces.encode(docs.select(*COLUMNS), pieces.read_pieces(pieces.DEFAULT_MODEL))
+    return pieces.encode(docs.select(*COLUMNS), pieces.read_pieces(pieces.DEFAULT_MODEL),
+                         merges=pieces.is_merge_model(pieces.DEFAULT_MODEL))
 
 
 STAGES = [

@@ -2,7 +2,11 @@
 
 An Aho-Corasick automaton over the pieces reads a text once; at each position
 its output links name every piece that ends there, and each relaxes the best
-score of a segmentation up to that position (Viterbi).
+score of a segmentation up to that position (Viterbi).  This is the encoding of
+a unigram model.  A BPE model's scores are ranks of merges, which don't add up:
+there each piece that ends at a position is tried, longest first, and taken if
+it and the last piece before it are what the merges make of the two together
+(a row of pieces is the merges' result if all its neighbours are).
 
 A space is written as the mark U+2581, one mark is put in front, and no piece
 holds a mark behind another character.  So a best segmentation of a text is the
@@ -14,6 +18,7 @@ written as its UTF-8 bytes (one byte piece each), so decoding gives back every t
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -33,6 +38,8 @@ BYTE_PENALTY = 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units remembered by a worker; beyond that the memory starts anew (results don't depend on it).
 MEMORY_UNITS = 400_000
+#: Pairs of pieces remembered by a worker, likewise.
+MEMORY_PAIRS = 2_000_000
 #: Characters with a complete transition table (those of most pieces), the longest unit and the number of units taken in step.
 TABLE_CHARS = 160
 LONG_UNIT = 48
@@ -52,6 +59,16 @@ def read_pieces(model_file: str) -> list[tuple[str, float, bool]]:
             for i in range(sp.get_piece_size())]
 
 
+def is_merge_model(model_file: str) -> bool:
+    """Whether the model encodes by merges (BPE); needs the sentencepiece package on the driver only."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(model_file, "rb") as f:
+        model.ParseFromString(f.read())
+    return model.trainer_spec.model_type == model.trainer_spec.BPE
+
+
 class Automaton:
     """Goto, failure and output links over the pieces; state 0 is the root."""
 
@@ -101,6 +118,8 @@ class Automaton:
         for i, b in self.byte_of.items():
             self.plain[i] = bytes([b])
 
+        self.rank = {self.text[i]: s for i, s in zip(self.piece, self.score) if i >= 0}
+        self.pairs: dict[int, bool] = {}
         self._as_arrays()
 
     def _as_arrays(self) -> None:
@@ -222,6 +241,62 @@ class Automaton:
             i = came[i]
         return out[::-1]
 
+    def merged(self, text: str) -> list[str]:
+        """What the merges make of a text: the neighbours whose union has the best score are
+        united, the leftmost of equal ones, until no union is a piece."""
+        parts, rank = list(text), self.rank
+        follows, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        todo = [(-rank[a + b], i, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]
+        heapq.heapify(todo)
+        while todo:
+            _, i, both = heapq.heappop(todo)
+            k = follows[i]
+            if not parts[i] or k >= len(parts) or parts[i] + parts[k] != both:
+                continue                     # one of the two has gone into another piece
+            parts[i], parts[k], follows[i] = both, "", follows[k]
+            if follows[i] < len(parts):
+                before[follows[i]] = i
+            for x, y in ((before[i], i), (i, follows[i])):
+                if x >= 0 and y < len(parts) and (union := parts[x] + parts[y]) in rank:
+                    heapq.heappush(todo, (-rank[union], x, union))
+        return [p for p in parts if p]
+
+    def _fits(self, last: int, piece: int) -> bool:
+        """Whether the merges leave the two pieces as they are (last = -1: the second alone); remembered."""
+        if len(self.pairs) >= MEMORY_PAIRS:
+            self.pairs.clear()
+        want = [self.text[piece]] if last < 0 else [self.text[last], self.text[piece]]
+        known = self.pairs[last * len(self.text) + piece] = self.merged("".join(want)) == want
+        return known
+
+    def merge_path(self, unit: str) -> list[int]:
+        """Ids that the merges of a BPE model give, in one pass over the automaton."""
+        last, came = [-1] * (len(unit) + 1), [0] * (len(unit) + 1)
+        goto, fail, link, piece, length = self.goto, self.fail, self.link, self.piece, self.length
+        pairs, size, state = self.pairs.get, len(self.text), 0
+        for i, c in enumerate(unit, 1):
+            while state and c not in goto[state]:
+                state = fail[state]
+            state = goto[state].get(c, 0)
+            came[i] = i - 1                  # no piece fits: the character is written in bytes
+            hit = state if piece[state] >= 0 else link[state]
+            while hit:
+                j, p = i - length[hit], piece[hit]
+                fits = pairs(last[j] * size + p)
+                if fits or (fits is None and self._fits(last[j], p)):
+                    last[i], came[i] = p, j
+                    break
+                hit = link[hit]
+        out: list[int] = []
+        i = len(unit)
+        while i:
+            if last[i] >= 0:
+                out.append(last[i])
+            else:
+                out.extend(self.byte_id[b] for b in reversed(unit[i - 1].encode("utf-8")))
+            i = came[i]
+        return out[::-1]
+
 
 #: Stands for a literal mark among the units (no unit is empty).
 _LITERAL = ""
@@ -229,10 +304,11 @@ _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class Codec:
-    """Encode and decode texts; keeps a bounded memory of units."""
+    """Encode and decode texts, by the best sum of scores or by merges; keeps a bounded memory of units."""
 
-    def __init__(self, pieces: list[tuple[str, float, bool]]):
+    def __init__(self, pieces: list[tuple[str, float, bool]], merges: bool = False):
         self.automaton = Automaton(pieces)
+        self.merges = merges
         mark = [self.automaton.byte_id[b] for b in MARK.encode()]
         self.literal = self.automaton._bytes(mark)
         self.known: dict[str, bytes] = {_LITERAL: self.literal}
@@ -256,12 +332,17 @@ class Codec:
         if new:
             if len(known) + len(new) > MEMORY_UNITS:        # keep what these texts use
                 known = {u: known[u] for us in units for u in us if u in known}
-            known.update(zip(new, self.automaton.best_of_many(new)))
+            known.update(zip(new, self._encode_units(new)))
             found = known
             known[_LITERAL] = self.literal
             self.known = known if len(known) <= MEMORY_UNITS else {_LITERAL: self.literal}
         return [np.frombuffer(b"".join([found[u] for u in us]), dtype=np.int32) for us in units]
 
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        if self.merges:
+            return [self.automaton._bytes(self.automaton.merge_path(u)) for u in units]
+        return self.automaton.best_of_many(units)
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
@@ -272,22 +353,23 @@ class Codec:
         return (body[1:] if body[:1] == b" " else body).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[tuple[int, bool], Codec] = {}
 
 
-def _codec(shared) -> Codec:
+def _codec(shared, merges: bool = False) -> Codec:
     """One codec per worker process and broadcast."""
-    key = id(shared.value)
+    key = id(shared.value), merges
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(shared.value)
+        _codecs[key] = Codec(shared.value, merges)
     return _codecs[key]
 
 
 def encode(docs: DataFrame, pieces: list[tuple[str, float, bool]], text_col: str = "text",
-           ids_col: str = "ids") -> DataFrame:
+           ids_col: str = "ids", merges: bool = False) -> DataFrame:
     """Add ``ids`` (array of int), ``n_tokens`` and ``round_trip`` (decoding gives
     the text back) to every row, in one narrow pass; same-named columns are replaced.
+    ``merges`` is for the pieces of a BPE model (see ``is_merge_model``).
 
     NULL text: ids NULL, n_tokens 0, round_trip true.  Empty text: no ids."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)   # one entry per piece of the vocabulary
@@ -298,7 +380,7 @@ def encode(docs: DataFrame, pieces: list[tuple[str, float, bool]], text_col: str
         schema = schema.add(c, t)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = _codec(shared, merges)
         for batch in small_batches(batches, 500):
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()
@@ -336,4 +418,4 @@ def decode(rows: DataFrame, pieces: list[tuple[str, float, bool]], ids_col: str
 
 def token_report(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip."""
-    return encode(docs.select("doc_id", "text"), read_pieces(model_file)).drop("text")
+    return encode(docs.select("doc_id", "text"), read_pieces(model_file), merges=is_merge_model(model_file)).drop("text")
