@@ -3,7 +3,12 @@
 A rolling hash over the hashes of neighbouring lines chooses the boundaries, so
 lines put in or taken out move no boundary further on.  A chunk of two lines
 or more that occurs again anywhere in the corpus is removed wherever its bytes
-equal those of its first occurrence (least doc_id, then place), which stays."""
+equal those of its first occurrence (least doc_id, then place), which stays.
+
+A chunk is found again only if it lies wholly inside a shared passage, so short
+passages between foreign lines stay (about a chunk's length at each end, and often
+all of one under 8 lines).  ``windows=True`` finds them: every run of two lines
+with words counts as a chunk too, and the union of what repeats is removed."""
 
 from __future__ import annotations
 
@@ -48,15 +53,27 @@ def _worth(lines: list[bytes], lo: int, hi: int, least: int) -> bool:
     return hi - lo >= least and sum(1 for x in lines[lo:hi] if x.strip()) >= least
 
 
+def _candidates(lines: list[bytes], bounds: list[tuple[int, int]], least: int, windows: bool) -> list[tuple[int, int]]:
+    """The ranges of lines that may be removed; with ``windows`` also those from each line with
+    a word to the next such line (blank lines between belong to them)."""
+    out = [(lo, hi) for lo, hi in bounds if _worth(lines, lo, hi, least)]
+    if windows:
+        worded = [i for i, x in enumerate(lines) if x.strip()]
+        out = sorted({*out, *((a, b + 1) for a, b in zip(worded, worded[1:]))})
+    return out
+
+
 def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR,
-                      min_lines: int = MIN_LINES) -> DataFrame:
+                      min_lines: int = MIN_LINES, windows: bool = False) -> DataFrame:
     """(row, clean_text, n_chunks, n_chunks_removed, n_lines_removed, n_bytes_removed) per input row.
 
     ``row`` is a struct of the input's columns.  Rows are told apart by id and
     text: rows equal in both are one document and are treated alike, so both
     keep a chunk whose first occurrence is theirs.  A NULL id sorts last; NULL
     text stays NULL; an empty table gives an empty result.  A chunk that repeats
-    inside one document is removed there but for its first place.
+    inside one document is removed there but for its first place.  With ``windows``
+    (see above) a line goes if any repeated range has it; of each removed line an
+    earlier copy is left, and ``n_chunks_removed`` counts the repeated ranges.
 
     Shuffled: one digest per chunk, then the documents by key, then the bytes of
     chunks whose digests repeat.  A digest held by a third of all rows is counted
@@ -67,47 +84,47 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            keys, places, found = [], [], []
+            keys, places, ends, found = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lines, bounds = _chunks(text, divisor)
-                for lo, hi in bounds:
-                    if _worth(lines, lo, hi, min_lines):
-                        keys.append(key)
-                        places.append(lo)
-                        found.append(xxhash.xxh3_128_digest(b"\n".join(lines[lo:hi])))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.int32()),
-                                              pa.array(found, pa.binary())], names=["key", "place", "digest"])
-
-    slim = cut(map_arrow(rows.select("key", "text"), digests, "key binary, place int, digest binary"))
+                for lo, hi in _candidates(lines, bounds, min_lines, windows):
+                    keys.append(key)
+                    places.append(lo)
+                    ends.append(hi)
+                    found.append(xxhash.xxh3_128_digest(b"\n".join(lines[lo:hi])))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(ends, pa.int32()),
+                                              pa.array(found, pa.binary())], names=["key", "place", "end", "digest"])
+
+    slim = cut(map_arrow(rows.select("key", "text"), digests, "key binary, place int, end int, digest binary"))
     # Cut, like the first occurrences below: both sides of the joins are dealt out for them, and a hot digest can be split.
     again = cut(slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
-    suspects = slim.join(again, "digest").select("key", "place").distinct() \
-                   .groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    ranges = F.array_sort(F.collect_list(F.struct("place", "end"))).alias("places")
+    suspects = slim.join(again, "digest").select("key", "place", "end").distinct().groupBy("key").agg(ranges)
 
     def occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for key, i, text, places in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                lines, bounds = _chunks(text, divisor)
-                end = dict(bounds)
-                for lo in places:
-                    body = b"\n".join(lines[lo:end[lo]])
-                    for values, v in zip(out, (key, i, lo, xxhash.xxh3_128_digest(body), body)):
+                lines, _ = _chunks(text, divisor)
+                for lo, hi in (p.values() for p in places):
+                    body = b"\n".join(lines[lo:hi])
+                    for values, v in zip(out, (key, i, lo, hi, xxhash.xxh3_128_digest(body), body)):
                         values.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                 pa.array(out[3], pa.binary()), pa.array(out[4], pa.large_binary()).cast(pa.binary())],
-                names=["key", "id", "place", "digest", "body"])
+                 pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary()),
+                 pa.array(out[5], pa.large_binary()).cast(pa.binary())],
+                names=["key", "id", "place", "end", "digest", "body"])
 
     # Equal rows give equal occurrences; one of each key is enough.
     held = rows.join(suspects, "key").select("key", "id", "text", "places")
-    occ = cut(map_arrow(held, occurrences, "key binary, id long, place int, digest binary, body binary"))
+    occ = cut(map_arrow(held, occurrences, "key binary, id long, place int, end int, digest binary, body binary"))
     # A digest's first bytes travel with its first occurrence; partial minima leave one row per digest and task.
     first = cut(occ.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "place", "body")).alias("first")))
     o, f = occ.alias("o"), first.alias("f")
     later = (F.col("o.key") != F.col("f.first.key")) | (F.col("o.place") != F.col("f.first.place"))
     gone = o.join(f, F.col("o.digest") == F.col("f.digest")).where(later & (F.col("o.body") == F.col("f.first.body"))) \
-            .select("o.key", "o.place").distinct().groupBy("key").agg(F.array_sort(F.collect_list("place")).alias("places"))
+            .select("o.key", "o.place", "o.end").distinct().groupBy("key").agg(ranges)
 
     out_schema = pack(docs).schema.add("clean_text", "string")
     names = ("n_chunks", "n_chunks_removed", "n_lines_removed", "n_bytes_removed")
@@ -119,12 +136,12 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             texts, figures = [], [[], [], [], []]
             for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 lines, bounds = _chunks(text, divisor)
-                drop = set(places or ())
-                left = [lines[i] for lo, hi in bounds if lo not in drop for i in range(lo, hi)]
+                drop = {i for p in places or () for i in range(p["place"], p["end"])}
+                left = [x for i, x in enumerate(lines) if i not in drop]
                 clean = b"\n".join(left)
                 texts.append(None if text is None else clean.decode("utf-8", "surrogatepass"))
                 whole = b"\n".join(lines)
-                for values, v in zip(figures, (len(bounds) if text else 0, len(drop), len(lines) - len(left),
+                for values, v in zip(figures, (len(bounds) if text else 0, len(places or ()), len(lines) - len(left),
                                                len(whole) - len(clean))):
                     values.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()),

@@ -148,6 +148,53 @@ def test_line_chunks_against_brute_force(spark):
     assert sum(map(len, want.values())) < sum(len(t) for _, t in docs)
 
 
+def brute_windows(docs):
+    """Chunks and pairs of worded lines in order of id and place; what has been seen goes, line by line."""
+    seen, out = set(), {}
+    for i, t in docs:
+        lines = t.encode().split(b"\n")
+        worded = [k for k, x in enumerate(lines) if x.strip()]
+        spans = {(lo, hi) for lo, hi in line_chunks.chunk_bounds(lines) if line_chunks._worth(lines, lo, hi, 2)}
+        gone = set()
+        for lo, hi in sorted(spans | {(a, b + 1) for a, b in zip(worded, worded[1:])}):
+            body = b"\n".join(lines[lo:hi])
+            if body in seen:
+                gone |= set(range(lo, hi))
+            seen.add(body)
+        out[i] = b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode()
+    return out
+
+
+def test_line_windows_against_brute_force(spark):
+    import random
+    r = random.Random(3)
+    lines = [f"line {k} of the corpus." for k in range(40)] + ["", " "]
+    docs = [(i, "\n".join(r.choice(lines) if r.random() < .5 else lines[(i % 5 + k) % 40] for k in range(r.randrange(0, 25))))
+            for i in range(120)]
+    df = spark.createDataFrame([*docs, *docs[:5]], "doc_id long, text string").repartition(5)
+    got = {x.row.doc_id: x.clean_text for x in line_chunks.dedup_line_chunks(df, windows=True).collect()}
+    assert got == brute_windows(docs)
+    assert {x for t in got.values() for x in t.split("\n") if x.strip()} == {x for _, t in docs for x in t.split("\n") if x.strip()}
+
+
+def test_line_windows_find_short_passages(spark):
+    """Passages of 2 to 8 lines and over 50 words between foreign lines: the first copy stays, nothing of the second."""
+    import random
+    r = random.Random(8)
+    line = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(26))
+    docs, planted = [], []
+    for n in range(2, 9):
+        for _ in range(12):
+            passage = [line() for _ in range(n)]
+            own = [[line() for _ in range(r.randrange(1, 6))] for _ in range(4)]
+            planted.append((len(docs) + 1, passage, own[2] + own[3]))
+            docs += [(len(docs), "\n".join(own[0] + passage + own[1])), (len(docs) + 1, "\n".join(own[2] + passage + own[3]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {x.row.doc_id: x.clean_text.split("\n") for x in line_chunks.dedup_line_chunks(df, windows=True).collect()}
+    assert sum(x in got[i] for i, passage, _ in planted for x in passage) == 0
+    assert all(got[i] == own and got[i - 1] == docs[i - 1][1].split("\n") for i, _, own in planted)
+
+
 def test_boundaries_resist_shifts():
     lines = [f"number {k}".encode() for k in range(60)]
     longer = [b"new", *lines]
