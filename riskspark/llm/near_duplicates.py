@@ -27,7 +27,7 @@ from riskspark.llm.components import components
 class NearParams:
     """Two texts with similarity 0.8 miss each other in all 25 bands of 4 with
     probability 2e-6.  Buckets of up to ``pairs_up_to`` nodes are compared by pairs, larger
-    ones by blocks of two ``chunk``s; both compare all."""
+    ones by blocks of two ``chunk``s, of fewer texts where these are long; both compare all."""
 
     words: int = 5
     bands: int = 25
@@ -35,6 +35,7 @@ class NearParams:
     percent: int = 80
     pairs_up_to: int = 48
     chunk: int = 1000
+    chunk_bytes: int = 16 << 20
 
 
 def text_node(text: Column) -> Column:
@@ -117,21 +118,29 @@ def near_classes(docs: DataFrame, text_col: str = "text", p: NearParams = NearPa
     return roots, links
 
 
+def _units(large: DataFrame, bodies: DataFrame, p: NearParams) -> DataFrame:
+    """Rows (band, i, j, chunk, node, root, text): what meets in the task of the chunks i <= j of a
+    bucket.  A chunk has about p.chunk texts or p.chunk_bytes bytes, whichever is fewer (a longer text is whole)."""
+    size = bodies.select("node", F.octet_length("text").cast("long").alias("bytes"))
+    weight = cut(large.join(size, "node").groupBy("band").agg(F.sum("bytes").alias("bytes")))
+    chunks = F.greatest(F.ceil(F.col("size") / p.chunk), F.ceil(F.col("bytes") / p.chunk_bytes)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    dealt = large.join(weight, "band").withColumn("chunk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return dealt.select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk",
+                        "node", "root").join(bodies, "node")
+
+
 def _block_links(large: DataFrame, bodies: DataFrame, p: NearParams) -> DataFrame:
     """Links across components inside large buckets, without a row per pair: the
     nodes of a bucket are dealt into chunks, each two chunks meet in a task, and it gives
     back only links that unite components it did not see united before."""
-    chunks = F.ceil(F.col("size") / p.chunk).cast("int")
-    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    dealt = large.withColumn("chunk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    units = dealt.select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk",
-                         "node", "root").join(bodies, "node")
+    units = _units(large, bodies, p)
     ship(large.sparkSession)
 
     def meet(unit: pa.Table) -> pa.Table:
         i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
         chunk, nodes, roots = (unit.column(c).to_pylist() for c in ("chunk", "node", "root"))
-        body = unit.column("text").combine_chunks()
+        body = unit.column("text").cast(pa.large_string()).combine_chunks()
         a, b = similar_pairs([x[2:] for x in text_blocks(body, 1 << 62)][0], p)
         up = {r: r for r in roots}
 
