@@ -39,7 +39,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units remembered by a worker; beyond that the memory starts anew (results don't depend on it).
 MEMORY_UNITS = 400_000
 #: Pairs of pieces remembered by a worker, likewise.
-MEMORY_PAIRS = 2_000_000
+MEMORY_PAIRS = 400_000
 #: Characters with a complete transition table (those of most pieces), the longest unit and the number of units taken in step.
 TABLE_CHARS = 160
 LONG_UNIT = 48
