@@ -7,7 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import graph_search, licences, line_chunks, line_rules, mixing, near_duplicates, pieces, quality, repeats, toxicity
+from riskspark.llm import (conversations, decontamination, graph_search, infilling, licences, line_chunks, line_rules, mixing,
+                           near_duplicates, pieces, quality, repeats, toxicity)
 from riskspark.llm.common import table
 
 
@@ -51,6 +52,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_report(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.fim_report(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_license_scan": op2_license_scan,
@@ -62,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_decontamination": op11_decontamination,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -70,4 +86,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": line_rules.ORACLE_SQL,
     "op8_line_dedup": line_chunks.ORACLE_SQL,
     "op9_mix_sources": mixing.ORACLE_SQL,
+    "op11_decontamination": decontamination.ORACLE_SQL,
+    "op12_fill_in_middle": infilling.ORACLE_SQL,
 }

@@ -16,7 +16,7 @@ def test_query_matches_sql(spark, name):
 
 def test_one_query_for_each_operator_and_the_pipeline():
     names = list(registry.QUERIES)
-    assert [int(n[2:].split("_")[0]) for n in names if n.startswith("op")] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names if n.startswith("op")] == list(range(1, 14))
     assert "pipeline" in names
     assert set(names) <= set(entry.queries())
 
