@@ -3,7 +3,7 @@ produce the tables behind them, each bounded no matter how large the input."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.operators.profile import group_counts, share
@@ -42,6 +42,16 @@ def scatter_cells(points: DataFrame, bins: int = 100, cluster: str = "cluster",
             .withColumn("is_center", F.lit(False)))
 
 
+def sample_points(points: DataFrame, key: Column, n: int = 1000, cluster: str = "cluster") -> DataFrame:
+    """C3 points themselves: of each cluster the ``n`` points whose keys have the least md5 (a bottom-k sample: it
+    doesn't depend on partitions, and samples of parts merge into the sample of the whole).
+
+    A task sends at most n rows of a cluster on (Spark limits row numbers before the shuffle); keys that are
+    equal are ordered by the other columns."""
+    order = Window.partitionBy(cluster).orderBy(F.md5(key.cast("string")), *[F.col(f"`{c}`") for c in points.columns])
+    return points.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
 def cluster_scatter(points: DataFrame, centers_xy: DataFrame, bins: int = 100) -> DataFrame:
     """Binned points plus the k projected centres (is_center = true)."""
     cells = scatter_cells(points, bins)

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.columns import is_floating
+from riskspark.session import cut_lineage
 
 DEFAULT_BUCKETS = 1024
 DEFAULT_EXACT_LIMIT = 250_000
@@ -94,7 +95,7 @@ def _running(frame: DataFrame, order_col: str) -> DataFrame:
 
 
 def _histogram_round(df: DataFrame, xs: dict[str, Column], ranges: list[_Range],
-                     buckets: int) -> list[_Range]:
+                     buckets: int, weight: Column) -> list[_Range]:
     entries = []
     for j, rg in enumerate(ranges):
         x = xs[rg.col]
@@ -103,10 +104,10 @@ def _histogram_round(df: DataFrame, xs: dict[str, Column], ranges: list[_Range],
         b = F.least(F.lit(buckets - 1),
                     F.floor((x * F.lit(0.5) - F.lit(half_lo)) / F.lit(width))).cast("int")
         entries.append(F.when(x.between(F.lit(rg.lo), F.lit(rg.hi)),
-                              F.struct(F.lit(j).alias("r"), b.alias("b"), x.alias("x"))))
+                              F.struct(F.lit(j).alias("r"), b.alias("b"), x.alias("x"), weight.alias("w"))))
     hist = (_explode(df, entries)
             .groupBy("r", "b")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")))
+            .agg(F.sum("w").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")))
     picked = _running(hist, "b").where(_rank_filter(ranges)).collect()
     out: dict[tuple[int, int], _Range] = {}
     for row in picked:
@@ -121,11 +122,11 @@ def _histogram_round(df: DataFrame, xs: dict[str, Column], ranges: list[_Range],
     return list(out.values())
 
 
-def _exact_round(df: DataFrame, xs: dict[str, Column], ranges: list[_Range]) -> dict[tuple[str, int], float]:
+def _exact_round(df: DataFrame, xs: dict[str, Column], ranges: list[_Range], weight: Column) -> dict[tuple[str, int], float]:
     entries = [F.when(xs[rg.col].between(F.lit(rg.lo), F.lit(rg.hi)),
-                      F.struct(F.lit(j).alias("r"), xs[rg.col].alias("x")))
+                      F.struct(F.lit(j).alias("r"), xs[rg.col].alias("x"), weight.alias("w")))
                for j, rg in enumerate(ranges)]
-    counts = _explode(df, entries).groupBy("r", "x").agg(F.count(F.lit(1)).alias("n"))
+    counts = _explode(df, entries).groupBy("r", "x").agg(F.sum("w").alias("n"))
     picked = _running(counts, "x").where(_rank_filter(ranges)).collect()
     found: dict[tuple[str, int], float] = {}
     for row in picked:
@@ -141,8 +142,8 @@ def order_statistics(df: DataFrame, ranks: dict[str, set[int]],
                      stats: dict[str, tuple[int, float | None, float | None]] | None = None,
                      values: dict[str, Column] | None = None,
                      buckets: int = DEFAULT_BUCKETS,
-                     exact_limit: int = DEFAULT_EXACT_LIMIT) -> dict[tuple[str, int], float]:
-    """Exact value at each 0-based rank (ascending, missing skipped) per column.
+                     exact_limit: int = DEFAULT_EXACT_LIMIT, weight: Column | None = None) -> dict[tuple[str, int], float]:
+    """Exact value at each 0-based rank (ascending, missing skipped) per column; a row counts ``weight`` times.
 
     Infinite values take the first and last ranks; the rounds narrow the finite
     part, and each makes its ranges shorter, so they come to an end.
@@ -151,7 +152,8 @@ def order_statistics(df: DataFrame, ranks: dict[str, set[int]],
     xs = values or {c: value_expr(df, c) for c in cols}
     if stats is None:
         stats = count_min_max(df, cols, xs)
-    finite = _finite_parts(df, xs, {c: stats[c] for c in cols})
+    weight = F.lit(1).cast("bigint") if weight is None else weight
+    finite = _finite_parts(df, xs, {c: stats[c] for c in cols}, weight)
     pending = []
     found: dict[tuple[str, int], float] = {}
     for c in cols:
@@ -174,12 +176,12 @@ def order_statistics(df: DataFrame, ranks: dict[str, set[int]],
             else:
                 hist.append(rg)
         if exact:
-            found.update(_exact_round(df, xs, exact))
-        pending = _histogram_round(df, xs, hist, buckets) if hist else []
+            found.update(_exact_round(df, xs, exact, weight))
+        pending = _histogram_round(df, xs, hist, buckets, weight) if hist else []
     return found
 
 
-def _finite_parts(df: DataFrame, xs: dict[str, Column], stats: dict) -> dict[str, tuple[int, int, float, float]]:
+def _finite_parts(df: DataFrame, xs: dict[str, Column], stats: dict, weight: Column) -> dict[str, tuple[int, int, float, float]]:
     """Per column: rows at minus infinity, finite rows, their min and max; reads the
     table again only for columns that hold an infinity."""
     out = {c: (0, int(n), lo, hi) for c, (n, lo, hi) in stats.items()}
@@ -189,7 +191,8 @@ def _finite_parts(df: DataFrame, xs: dict[str, Column], stats: dict) -> dict[str
         for i, c in enumerate(odd):
             x = xs[c]
             real = F.when(F.abs(x) < math.inf, x)
-            aggs += [F.count(F.when(x == -math.inf, 1)).alias(f"b{i}"), F.count(real).alias(f"n{i}"),
+            aggs += [F.coalesce(F.sum(F.when(x == -math.inf, weight)), F.lit(0)).alias(f"b{i}"),
+                     F.coalesce(F.sum(F.when(real.isNotNull(), weight)), F.lit(0)).alias(f"n{i}"),
                      F.min(real).alias(f"lo{i}"), F.max(real).alias(f"hi{i}")]
         row = df.agg(*aggs).first()
         out.update({c: (row[f"b{i}"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(odd)})
@@ -215,7 +218,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str =
 
     ``method='exact'`` interpolates linearly like SQL ``quantile_cont``;
     ``method='approx'`` uses ``percentile_approx`` (one pass, a bounded
-    sketch, returns observed values, rank error about n / accuracy)."""
+    sketch, returns observed values, rank error about n / accuracy);
+    ``method='bracketed'`` is exact in two passes (``bracketed_quantiles``)."""
     if not cols:
         return {}
     xs = values or {c: value_expr(df, c) for c in cols}
@@ -224,6 +228,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str =
                        for i, c in enumerate(cols)]).first()
         return {c: ([float(v) for v in row[f"q{i}"]] if row[f"q{i}"] is not None else [None] * len(probs))
                 for i, c in enumerate(cols)}
+    if method == "bracketed":
+        return bracketed_quantiles(df, cols, probs, values=xs, accuracy=accuracy)
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
     if stats is None:
@@ -236,6 +242,63 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str =
     return {c: _interpolate(stats[c][0], probs, lambda k, c=c: found[(c, k)]) for c in cols}
 
 
+def bracketed_quantiles(df: DataFrame, cols: list[str], probs: list[float], values: dict[str, Column] | None = None,
+                        accuracy: int = 10_000, margin: float | None = None,
+                        missed: list[str] | None = None) -> dict[str, list[float | None]]:
+    """Exact quantiles in two passes over the table.
+
+    1. One mergeable sketch per column gives, for each wanted rank, a bracket of two values
+       ``margin`` (a share of the rows) to either side of it.
+    2. A second pass counts the rows below each bracket and, by value, those inside, a share of about 2 * margin
+       per rank, into a table in the shared folder; the rank's place inside is known then and is looked up there.
+
+    A rank is proved by the counts: it lies inside iff below <= rank < below + inside.  Columns with a
+    rank that misses its bracket take the rounds of ``order_statistics`` instead (``missed`` collects their names), so the
+    sketch's error decides the work and never the value."""
+    if not cols:
+        return {}
+    xs = values or {c: value_expr(df, c) for c in cols}
+    margin = 2.0 / accuracy if margin is None else margin
+    edges = [min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)]
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(xs[c]).alias(f"n{i}"), F.percentile_approx(xs[c], edges, accuracy).alias(f"e{i}")]
+    row = df.agg(*aggs).first()
+    counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+    brackets = [(c, j, *sorted(row[f"e{i}"][2 * j:2 * j + 2])) for i, c in enumerate(cols) if counts[c] for j in range(len(probs))]
+    found: dict[tuple[str, int], float] = {}
+    late: list[str] = []
+    if brackets:
+        # Below a bracket a row adds to one count, inside to its value's count: partial sums keep both slim.
+        entries = []
+        for r, (c, _, lo, hi) in enumerate(brackets):
+            one = lambda x, r=r: F.struct(F.lit(r).alias("r"), x.alias("x"))
+            entries.append(F.when(xs[c] < lo, one(F.lit(None).cast("double"))).when(xs[c] <= hi, one(xs[c])))
+        near = cut_lineage(_explode(df, entries).groupBy("r", "x").agg(F.count(F.lit(1)).alias("n")))
+        sums = {row["r"]: row for row in near.groupBy("r").agg(
+            F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("n"))), F.lit(0)).alias("below"),
+            F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("n"))), F.lit(0)).alias("here"),
+            F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}                # a row per bracket
+        stats, ranks, names = {}, {}, {}
+        for r, (c, j, _, _) in enumerate(brackets):
+            seen, (_, lo, hi) = sums.get(r), _positions(counts[c], [probs[j]])[0]
+            if seen and seen["below"] <= lo and hi < seen["below"] + seen["here"]:
+                stats[f"r{r}"] = (seen["here"], seen["lo"], seen["hi"])
+                ranks[f"r{r}"] = {lo - seen["below"], hi - seen["below"]}
+                names.update({(f"r{r}", k - seen["below"]): (c, k) for k in (lo, hi)})
+            elif c not in late:
+                late.append(c)
+        parts = {f"r{r}": F.when(F.col("r") == r, F.col("x")) for r in range(len(brackets))}
+        got = order_statistics(near, ranks, stats=stats, values=parts, weight=F.col("n")) if ranks else {}
+        found = {names[key]: v for key, v in got.items()}
+    out = {c: _interpolate(counts[c], probs, lambda k, c=c: found[(c, k)]) for c in cols if c not in late}
+    if late:
+        out.update(quantiles(df, late, probs, values={c: xs[c] for c in late}))
+        if missed is not None:
+            missed.extend(late)
+    return {c: out[c] for c in cols}
+
+
 def _interpolate(n: int, probs: list[float], value: Callable[[int], float]) -> list[float | None]:
     """Quantiles of n values from the values at their ranks."""
     if n == 0:
@@ -306,3 +369,49 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, tuple[str | None, int]]:
     for r in rows:
         out[r["k"]] = (r["v"], int(r["n"]))
     return out
+
+
+def frequent_modes(df: DataFrame, cols: list[str], candidates: int = 100, tracked: int = 10_000,
+                   missed: list[str] | None = None) -> dict[str, tuple[str | None, int]]:
+    """The result of ``modes`` without shuffling every distinct value.
+
+    1. One mergeable heavy-hitter summary per column (``approx_top_k``: at most ``tracked`` values with counts, too
+       low by at most 2.625 / tracked of the rows) leaves ``candidates`` values.
+    2. A second pass counts those exactly; only their (column, value) pairs are shuffled.
+
+    The best candidate is the mode if no value that is not a candidate can have as many rows: a value
+    that is not in the summary has at most 5.25 / tracked of them, and one that is in it but not among the
+    candidates at most the least candidate's estimate.  Columns for which this proof fails (none of
+    their values is frequent) are counted whole by ``modes`` (``missed`` collects their names)."""
+    if not cols:
+        return {}
+    aggs = []
+    for i, c in enumerate(cols):
+        text = F.col(f"`{c}`").cast("string")
+        aggs += [F.count(text).alias(f"n{i}"),
+                 F.expr(f"approx_top_k(CAST(`{c}` AS STRING), {candidates}, {tracked}) FILTER (WHERE `{c}` IS NOT NULL)").alias(f"t{i}")]
+    row = df.agg(*aggs).first()
+    tops = {c: [(t["item"], t["count"]) for t in row[f"t{i}"] or () if t["item"] is not None] for i, c in enumerate(cols)}
+    entries = [F.when(F.col(f"`{c}`").cast("string").isin([v for v, _ in tops[c]]),
+                      F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").cast("string").alias("v"))) for c in cols if tops[c]]
+    exact: dict[str, list[tuple[int, str]]] = {c: [] for c in cols}
+    if entries:
+        pairs = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
+        for r in pairs.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).collect():      # candidates only
+            exact[r["k"]].append((-int(r["n"]), r["v"]))
+    out: dict[str, tuple[str | None, int]] = {}
+    late = []
+    for i, c in enumerate(cols):
+        n = row[f"n{i}"]
+        least = min((k for _, k in tops[c]), default=0) if len(tops[c]) >= candidates else 0
+        best = min(exact[c], default=(0, None))
+        if not n:
+            out[c] = (None, 0)
+        elif -best[0] > max(5.25 * n / tracked, least):
+            out[c] = (best[1], -best[0])
+        else:
+            late.append(c)
+    out.update(modes(df, late))
+    if missed is not None:
+        missed.extend(late)
+    return {c: out[c] for c in cols}

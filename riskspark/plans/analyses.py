@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.columns import string_columns
-from riskspark.operators import chartdata, cluster, evaluate, features, models
+from riskspark.operators import chartdata, cluster, dictionary, evaluate, features, models
 from riskspark.operators.clean import CleaningModel, fit_cleaning
 from riskspark.operators.profile import group_counts
 from riskspark.operators.split import hash_split, random_split, spread, union_parts, with_split
@@ -56,7 +56,7 @@ def prepare(df: DataFrame, roles: Roles, fraction: float = 0.8, split_key: str |
             feature_types: list[str] | None = None, duplicate_indexed: bool = False,
             exclude: tuple[str, ...] = (), quantile_method: str = "exact", persist: bool = True,
             partitions: int | None = None, random_seed: int | None = None, fit_on_train: bool = False,
-            **cleaning_options) -> Prepared:
+            wide: tuple[str, ...] = (), **cleaning_options) -> Prepared:
     """Clean, split, encode and assemble.
 
     ``partitions``: deal the cleaned rows into so many (bagging follows
@@ -65,6 +65,8 @@ def prepare(df: DataFrame, roles: Roles, fraction: float = 0.8, split_key: str |
     statistics from the training part alone (hash split only); ``cleaning_options``: those of ``fit_cleaning``
     (``bad_time``, ``impute_id``, ``clip_label``, ``date_format``, ``time_format``).
     ``feature_types`` filters by the types that columns have in the reference.
+    ``wide``: text columns of many values, encoded by a distributed dictionary (``operators.dictionary``) instead of a
+    list on the driver; their indices are plain numbers to a tree, without a limit by its bins.
 
     The cleaned table, marked with a 'split' column and cut to the columns
     the later steps read, is persisted once: the encoder fit, the
@@ -104,8 +106,11 @@ def prepare(df: DataFrame, roles: Roles, fraction: float = 0.8, split_key: str |
         cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
         marked = cached
     is_train = F.col("split") == "train"
-    encoders = features.fit_encoders(marked.where(is_train), encoded, roles.label, handle_invalid)
+    encoders = features.fit_encoders(marked.where(is_train), [c for c in encoded if c not in wide], roles.label, handle_invalid)
     coded = encoders.transform(marked)
+    many = {c: features.indexed_name(c) for c in encoded if c in wide}
+    if many:
+        coded = dictionary.encode(coded, dictionary.fit_dictionary(marked.where(is_train), list(many)), many, handle_invalid)
     data = features.assemble(coded, names).select(
         *[c for c in dict.fromkeys([roles.id, roles.label, label_index]) if c], "features", "split")
     return Prepared(roles, cleaning, data, data.where(is_train), data.where(~is_train), names,

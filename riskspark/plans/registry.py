@@ -21,10 +21,10 @@ from riskspark.functions.vectors import vector_columns
 from riskspark.operators import chartdata, cluster, evaluate, features, models, profile
 from riskspark.operators.clean import bounds_frame, constant_report, fit_cleaning, iqr_bounds
 from riskspark.operators.split import hash_split, spread, union_parts, with_split
-from riskspark.plans import analyses
+from riskspark.plans import analyses, tables_at_scale
 from riskspark.roles import Roles
-from riskspark.sources.tables import (ACCIDENT_ROLES, ACCIDENT_SQL, PLANTED_ACCIDENT_SQL, accident_frame,
-                                      planted_accident_frame, table)
+from riskspark.sources.tables import (ACCIDENT_ROLES, ACCIDENT_SQL, PLANTED_ACCIDENT_SQL, SEVERE_ACCIDENT_SQL,
+                                      accident_frame, planted_accident_frame, severe_accident_frame, table)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -694,18 +694,16 @@ UNION ALL SELECT 'importance', 1, 'hour', NULL"""
 
 
 def q_accident_binary_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Entry B: is_severe = not the most frequent training label.  Its areas depend on the trees' growth, as rows
-    of the filled label are noise: they are in the range report."""
-    report = _binary(_accident_prepared(spark, sf))
-    ranged = F.when((F.col("section") == "metric") & (F.col("value") >= 0.9), 0.9).otherwise(F.col("value"))
-    return report.withColumn("value", ranged)
+    """Entry B: is_severe = not the most frequent training label, as it is (true areas)."""
+    prep = analyses.prepare(severe_accident_frame(spark, sf), ACCIDENT_ROLES, partitions=FOREST_PARTITIONS)
+    return _binary(prep)
 
 
 SQL_ACCIDENT_BINARY_REPORT = f"""
-WITH {_SQL_ACCIDENT_LABELS}
-SELECT 'metric' AS section, CAST(0 AS INTEGER) AS rank, unnest(['area_roc', 'area_pr']) AS name, CAST(0.9 AS DOUBLE) AS value
-UNION ALL SELECT 'count', 0, 'is_severe=' || CASE WHEN idx > 0 THEN 1 ELSE 0 END, CAST(count(*) AS DOUBLE)
-          FROM t JOIN m USING (sev) WHERE split = 'train' GROUP BY 3
+WITH {SEVERE_ACCIDENT_SQL}, s AS (SELECT *, {_split_sql('id')} AS split FROM severe)
+SELECT 'metric' AS section, CAST(0 AS INTEGER) AS rank, unnest(['area_roc', 'area_pr']) AS name, CAST(1 AS DOUBLE) AS value
+UNION ALL SELECT 'count', 0, 'is_severe=' || CASE WHEN coalesce(sev, 'major') = 'major' THEN 0 ELSE 1 END, CAST(count(*) AS DOUBLE)
+          FROM s WHERE split = 'train' GROUP BY 3
 UNION ALL SELECT 'importance', 1, 'hour', NULL"""
 
 
@@ -836,3 +834,6 @@ ORACLE_SQL: dict[str, str] = {
     "pca_variance_2d": SQL_PCA_VARIANCE_2D,
     "pca_projection_2d": SQL_PCA_PROJECTION_2D,
 }
+
+QUERIES.update(tables_at_scale.QUERIES)
+ORACLE_SQL.update(tables_at_scale.ORACLE_SQL)

@@ -7,7 +7,9 @@ input ``DataFrame`` belongs to.  The checkpoint folder comes from
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
@@ -41,3 +43,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``checkpoint_dir``; a local master whose session names none (tests) gets a scratch folder."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and (sc.master == "local" or sc.master.startswith("local[")):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="riskspark-shared-"))
+    return checkpoint_dir(spark)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as written to the shared folder: later steps read it there, and ids that depend on its
+    partitions stay as they are when an executor is lost."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

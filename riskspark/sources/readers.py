@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark.roles import Roles
+from riskspark.sources.records import read_records
 
 
 class SourceError(RuntimeError):
@@ -28,7 +29,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
     Every field is read as text, columns by the header's names; quotes
     inside quoted fields are doubled; ``multi_line`` allows line ends inside them (a file is
-    then one task).  Missing-value texts become NULL, and only then are columns
+    still many tasks: ``records.csv_records``).  Missing-value texts become NULL, and only then are columns
     typed: by ``schema`` (matched by name, extra file columns are left out), or with
     ``infer=True`` as whole numbers, numbers or text by one pass over all rows; with neither every
     column stays text.  The date and time roles stay text; they are parsed later with explicit formats.
@@ -36,12 +37,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     ``mode='FAILFAST'`` makes malformed rows and values that don't fit their type fail, others
     give NULL.  A path that can't be read or a missing column is a ``SourceError`` now; bad rows
     are one too with ``probe=True`` (a pass over the file), else the job that meets them fails."""
-    reader = spark.read.option("header", True).option("mode", mode).option("escape", '"').option("quote", '"') \
-                       .option("multiLine", multi_line).option("enforceSchema", False)
-    try:
-        raw = reader.csv(path)
-    except AnalysisException as exc:
-        raise SourceError(f"cannot read {path}: {exc}") from exc
+    if multi_line:
+        raw = _from_records(spark, path, mode)
+    else:
+        reader = spark.read.option("header", True).option("mode", mode).option("escape", '"').option("quote", '"') \
+                           .option("enforceSchema", False)
+        try:
+            raw = reader.csv(path)
+        except AnalysisException as exc:
+            raise SourceError(f"cannot read {path}: {exc}") from exc
     raw = raw.select(*[F.when(~F.col(f"`{c}`").isin(*na_tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     keep_text = {c for c in (roles.date, roles.time) if c}
     if schema is not None:
@@ -63,6 +67,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return out
 
 
+def _from_records(spark: SparkSession, path: str, mode: str) -> DataFrame:
+    """Text columns of a CSV whose fields may hold line ends."""
+    parsed, names = read_records(spark, path)
+    bad = F.col("corrupt").isNotNull()
+    if mode == "DROPMALFORMED":
+        parsed = parsed.where(~bad)
+    checked = F.col("fields")
+    if mode == "FAILFAST":
+        says = F.concat(F.lit(f"not {len(names)} fields in line "), F.col("line").cast("string"))
+        checked = F.when(bad, F.raise_error(says).cast(parsed.schema["fields"].dataType)).otherwise(checked)
+    return parsed.select(checked.alias("fields")).select(*[F.col(f"fields.f{i}").alias(n) for i, n in enumerate(names)])
+
+
 def _typed(name: str, kind: T.DataType, mode: str) -> Column:
     c = F.col(f"`{name}`")
     if isinstance(kind, T.StringType):

@@ -41,6 +41,14 @@ def planted_accident_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accident_frame(spark, sf_dir).withColumn("sev", F.when(F.col("id") % LABEL_NULL_EVERY != 0, level))
 
 
+def severe_accident_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accident table with a severity that is major before 16 (most rows), minor before 20, fatal after that, and
+    missing for some of the major rows only: filled labels are what they were."""
+    hour = F.substring("time", 1, 2).cast("int")
+    level = F.when(hour < 16, F.when(F.col("id") % LABEL_NULL_EVERY != 0, "major")).when(hour < 20, "minor").otherwise("fatal")
+    return accident_frame(spark, sf_dir).withColumn("sev", level)
+
+
 def accident_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id bigint, sev string, day string, time string, user_id bigint, v double."""
     ev = table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
@@ -76,3 +84,9 @@ planted AS (
                          THEN CASE WHEN CAST(substr(time, 1, 2) AS INTEGER) < 8 THEN 'minor'
                                    WHEN CAST(substr(time, 1, 2) AS INTEGER) < 16 THEN 'major' ELSE 'fatal' END END AS sev)
   FROM accident)"""
+
+SEVERE_ACCIDENT_SQL = f"""{ACCIDENT_SQL},
+severe AS (
+  SELECT * REPLACE (CASE WHEN CAST(substr(time, 1, 2) AS INTEGER) < 16 THEN CASE WHEN id % {LABEL_NULL_EVERY} <> 0 THEN 'major' END
+                         WHEN CAST(substr(time, 1, 2) AS INTEGER) < 20 THEN 'minor' ELSE 'fatal' END AS sev)
+  FROM accident)"""
