@@ -79,8 +79,10 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chunks whose digests repeat.  A digest held by a third of all rows is counted
     with partial sums, and its occurrences meet a single row in a join that
     Spark may split."""
-    rows = pack(docs).select("row", content_key(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")).alias("key"),
-                             F.col(f"row.`{id_col}`").cast("long").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
+    key = content_key(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")).alias("key")
+    # The text travels once: alone where chunks are looked for, inside the row where they are removed.
+    rows = pack(docs).select(key, F.col(f"row.`{id_col}`").cast("long").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
+    text_at = docs.columns.index(text_col)
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -134,7 +136,7 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             texts, figures = [], [[], [], [], []]
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, places in zip(batch.column(0).field(text_at).to_pylist(), batch.column(1).to_pylist()):
                 lines, bounds = _chunks(text, divisor)
                 drop = {i for p in places or () for i in range(p["place"], p["end"])}
                 left = [x for i, x in enumerate(lines) if i not in drop]
@@ -148,7 +150,7 @@ def dedup_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                                               *(pa.array(v, pa.int64()) for v in figures)],
                                              names=["row", "clean_text", *names])
 
-    return map_arrow(rows.join(gone, "key", "left").select("row", "text", "places"), remove, out_schema)
+    return map_arrow(pack(docs).select("row", key).join(gone, "key", "left").select("row", "places"), remove, out_schema)
 
 
 def chunk_report(docs: DataFrame) -> DataFrame:
