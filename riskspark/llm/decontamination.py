@@ -139,8 +139,10 @@ def _covered(places: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", span: int = SPAN, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(row, n_words, n_hit, places, items) per document; ``row`` is a struct of the input's columns.
+                  item_text_col: str = "text", span: int = SPAN, broadcast_windows: int = BROADCAST_WINDOWS,
+                  with_text: bool = True) -> DataFrame:
+    """(row, n_words, n_hit, places, items) per document; ``row`` is a struct of the input's columns, without the
+    text (which then crosses no join) where ``with_text`` is false.
 
     ``places`` are the (at, span) of the benchmark windows found, by place (from 0, in words), ``items``
     the ids, sorted, of the items that have them; both are empty, not NULL, where nothing is
@@ -152,7 +154,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     rows = pack(docs).withColumn("text", F.col(f"row.`{text_col}`"))
     key = F.unhex(F.sha2(text_or_empty("text"), 256))
     texts = rows.select(key.alias("key"), "text")
-    slim = rows.select("row", F.regexp_count(text_or_empty("text"), F.lit(RAW_WORD)).cast("long").alias("n_words"),
+    row = F.col("row") if with_text else F.struct(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col])
+    slim = rows.select(row.alias("row"), F.regexp_count(text_or_empty("text"), F.lit(RAW_WORD)).cast("long").alias("n_words"),
                        key.alias("key"))
     if not lengths:
         found = texts.limit(0).select("key", F.array().cast("array<struct<at:int,span:int>>").alias("places"),
@@ -175,7 +178,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
 def decontamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    out = decontaminate(docs.select("doc_id", "text"), items)
+    out = decontaminate(docs.select("doc_id", "text"), items, with_text=False)
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

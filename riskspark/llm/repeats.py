@@ -330,9 +330,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", p: RepeatParams = Re
     an empty table gives an empty result."""
     ranges = repeated_ranges(docs, text_col, p).groupBy("node").agg(
         F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    rows = pack(docs).withColumn("node", text_node(F.col(f"row.`{text_col}`"))) \
-                     .withColumn("body", text_or_empty(f"row.{text_col}"))
-    joined = rows.join(ranges, "node", "left").select("row", "body", "ranges")
+    # The text crosses the join inside its row alone.
+    rows = pack(docs).withColumn("node", text_node(F.col(f"row.`{text_col}`")))
+    joined = rows.join(ranges, "node", "left").select("row", "ranges")
+    text_at = docs.columns.index(text_col)
     schema = pack(docs).schema
     added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string",
              "spans": "array<struct<begin:bigint,end:bigint>>", "kept_bytes": "binary"}
@@ -345,8 +346,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", p: RepeatParams = Re
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in added}
-            for text, ranges in zip(batch.column(1), batch.column(2)):
-                body = text.as_py().encode("utf-8", "surrogatepass")
+            for text, ranges in zip(batch.column(0).field(text_at), batch.column(1)):
+                body = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 spans = _merge([(r["begin"], r["end"]) for r in ranges.as_py() or ()])
                 edges = [0, *(x for s in spans for x in s), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))
