@@ -8,7 +8,14 @@ the block in step.  The shards' results are merged.
 
 Nearness is the largest inner product.  Inside a shard a further component makes
 all vectors equally long, so the nearest by angle is the one with the largest
-inner product."""
+inner product.
+
+The graph works in single precision on vectors scaled by a power of two (which changes
+no order).  A shard whose lengths lie too far apart for that is scanned in double precision
+instead, and so is it for a query that reached fewer of its vectors than were asked for.
+
+Links are not searched for through the layers: a node's candidates are its nearest among
+the shard's earlier nodes, found block by block, which the bounded shard allows."""
 
 from __future__ import annotations
 
@@ -32,23 +39,30 @@ class GraphParams:
 
     links: int = 16
     width: int = 64
-    beam: int = 128
-    shard_rows: int = 8192
+    beam: int = 256
+    shard_rows: int = 4096
     block_rows: int = 512
     seed: int = 5
 
 
+#: A shard whose longest vector is so many times its median one is scanned.
+WIDE = 1e4
+
+
 class Graph:
     """``layers[l]`` = (nodes of the layer, neighbours of each, -1 where there is none); all in flat arrays."""
 
     def __init__(self, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]):
         self.vectors, self.layers = vectors, layers
-        self.level = _level(vectors)
+        scaled = _scaled(vectors)
+        self.level = _level(scaled)
+        lengths = np.sqrt(np.einsum("nd,nd->n", scaled, scaled))
+        self.wide = bool(len(lengths)) and lengths.max() > WIDE * np.median(lengths)
 
     @classmethod
     def build(cls, vectors: np.ndarray, p: GraphParams) -> "Graph":
         n = len(vectors)
-        x = _level(vectors)
+        x = _level(_scaled(vectors))
         rng = np.random.default_rng(p.seed)
         top = np.minimum(-np.log(1.0 - rng.random(n)) / np.log(p.links), 12).astype(np.int64)
         layers = []
@@ -59,7 +73,27 @@ class Graph:
 
     def search(self, queries: np.ndarray, k: int, p: GraphParams) -> tuple[np.ndarray, np.ndarray]:
         """(places in the shard, -1 where there is none; approximate inner products), best first."""
-        q = np.concatenate((queries, np.zeros((len(queries), 1))), axis=1).astype(np.float32)
+        if self.wide:
+            return self.scan(queries, k)
+        found, sims = self._walk(queries, k, p)
+        few = np.flatnonzero((found >= 0).sum(axis=1) < min(k, len(self.vectors)))
+        if len(few):
+            found, sims = (np.pad(x, ((0, 0), (0, max(0, k - x.shape[1]))), constant_values=v) for x, v in ((found, -1), (sims, -np.inf)))
+            places, values = self.scan(queries[few], k)
+            found[few, :places.shape[1]], sims[few, :places.shape[1]] = places, values
+        return found, sims
+
+    def scan(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same by comparing with every vector; an inner product that is no number comes last."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            sims = queries @ self.vectors.T
+        sims = np.where(np.isnan(sims), -np.inf, sims)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        return order, np.take_along_axis(sims, order, 1)
+
+    def _walk(self, queries: np.ndarray, k: int, p: GraphParams) -> tuple[np.ndarray, np.ndarray]:
+        q = np.stack([_scaled(x[None])[0] for x in queries]) if len(queries) else queries
+        q = np.concatenate((q, np.zeros((len(q), 1))), axis=1).astype(np.float32)
         at = np.full(len(q), int(self.layers[-1][0][0]))
         near = np.einsum("qd,qd->q", self.level[at], q)
         for nodes, links in reversed(self.layers[1:]):
@@ -115,6 +149,12 @@ class Graph:
         return pool[:, :k], sims[:, :k]
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """All divided by the power of two next to the largest component: between -1 and 1, and in the same order."""
+    most = np.abs(vectors).max(initial=0.0)
+    return np.ldexp(vectors, -int(np.frexp(most)[1])) if most > 0 else vectors
+
+
 def _level(vectors: np.ndarray) -> np.ndarray:
     """Vectors with a component more that makes them equally long."""
     norms = np.einsum("nd,nd->n", vectors, vectors)
@@ -233,7 +273,8 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
     so do rows with a NULL id.  Vectors of different lengths are never neighbours.
     Rows equal in id and vector are rows of their own: each is a candidate of the
     other.  Equal vectors are one point of the graph with its k + 1 smallest ids: no
-    result needs more.  An empty table gives an empty result.
+    result needs more.  An empty table gives an empty result.  An inner product beyond the range of a
+    double is infinite, or no number where infinities meet: such come last.
 
     Shuffled: the vectors once (to unite equal ones) and each query block once per
     shard.  Memory of a task: one shard and one block, both bounded."""
@@ -280,18 +321,20 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
                 out: list[list] = [[], [], []]
                 for name, query, places in zip(names_of, q, found):
                     places = places[places >= 0]
-                    score = graph.vectors[places] @ query
-                    best = sorted((-s, j) for s, place in zip(score.tolist(), places.tolist()) for j in ids[place])[:k + 1]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        score = graph.vectors[places] @ query
+                    best = sorted((-s if s == s else np.inf, j, s) for s, place in zip(score.tolist(), places.tolist())
+                                  for j in ids[place])[:k + 1]
                     out[0].extend([name] * len(best))
-                    out[1].extend(-s for s, _ in best)
-                    out[2].extend(j for _, j in best)
+                    out[1].extend(s for _, _, s in best)
+                    out[2].extend(j for _, j, _ in best)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()),
                                                   pa.array(out[2], pa.int64())], names=["query", "score", "vec_id"])
 
     found = map_arrow(
         meetings.select("shard", "dim", "vectors", "ids", "nodes", "links", "queries", "wanted"), meet,
         "query long, score double, vec_id long")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.nanvl("score", F.lit(float("-inf"))).desc(), "vec_id"))
     merged = found.withColumn("place", place).where(F.col("place") <= k + 1) \
                   .groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
     results = wanted.join(merged, "query").select("vec", "near")

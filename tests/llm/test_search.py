@@ -68,3 +68,48 @@ def test_odd_tables(spark):
     assert sorted(twice[20]) == [(3, 1.0), (3, 1.0), (20, 5.0), (20, 5.0)]      # each of two equal rows is the other's
     more = frame(spark, [(20, [1.0, 2.0], 1), (3, [1.0, 0.0], 1)]).withColumns({"id": F.lit(1), "vec": F.lit(2), "own": F.lit(3)})
     assert search_report(more).count() == 1
+
+
+def test_components_beyond_single_precision(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(10)] + [(20, [1e200, 1.0, 0.0, 0.0]), (40, [0.0, 1e39, -1e39, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = found(search_report(df))
+    assert set(got) == {0, 20, 40}
+    for q, near in got.items():
+        x = dict(rows)[q]
+        want = sorted(((-float(np.dot(x, y)), i) for i, y in rows if i != q))
+        assert [j for j, _ in near] == [i for _, i in want]               # all other rows, nearest first
+        assert [s for _, s in near] == pytest.approx([-s for s, _ in want], rel=1e-12)
+
+
+def test_small_scales_are_not_lost():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 16))
+    for scale in (1e-300, 1e-60, 1e150):
+        g = Graph.build(x * scale, GraphParams())
+        assert not g.wide
+        f, _ = g.search(x[:50] * scale, 20, GraphParams())
+        want = np.argsort(-(x[:50] @ x.T), axis=1)[:, :20]
+        assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(f.tolist(), want.tolist())]) >= 0.9
+
+
+@pytest.mark.parametrize("lengths", ["even", "log-normal"])
+def test_recall_of_one_full_shard(lengths):
+    """The largest shard there is, at the defaults: more rows make more shards, not larger ones."""
+    p, rng = GraphParams(), np.random.default_rng(7)
+    x = rng.normal(size=(p.shard_rows, 64))
+    if lengths == "log-normal":
+        x *= rng.lognormal(0, 1, size=(len(x), 1))
+    q = rng.normal(size=(200, 64))
+    f, _ = Graph.build(x, p).search(q, 20, p)
+    want = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(f.tolist(), want.tolist())]) >= 0.9
+
+
+def test_unreached_vectors_are_scanned_for():
+    x = np.random.default_rng(8).normal(size=(60, 5))
+    g = Graph.build(x, GraphParams())
+    g.layers = [(nodes, np.full_like(links, -1)) for nodes, links in g.layers]     # no way from one node to another
+    f, _ = g.search(x[:7], 20, GraphParams())
+    assert (f == np.argsort(-(x[:7] @ x.T), axis=1, kind="stable")[:, :20]).all()
