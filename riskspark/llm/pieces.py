@@ -3,8 +3,9 @@
 An Aho-Corasick automaton over the pieces reads a text once; at each position
 its output links name every piece that ends there, and each relaxes the best
 score of a segmentation up to that position (Viterbi).  This is the encoding of
-a unigram model.  A BPE model's scores are ranks of merges, which don't add up:
-there each piece that ends at a position is tried, longest first, and taken if
+a unigram model.  A BPE model's scores are ranks of merges, which don't add up: the pass gives the
+segmentation with the best sum of them, not the model's own.  ``merges=True`` gives
+that: each piece that ends at a position is tried, longest first, and taken if
 it and the last piece before it are what the merges make of the two together
 (a row of pieces is the merges' result if all its neighbours are).
 
@@ -45,9 +46,6 @@ TABLE_CHARS = 160
 LONG_UNIT = 48
 STEP_UNITS = 20_000
 
-#: Inside the encoder a literal mark is this (a noncharacter, never part of a piece).
-_LITERAL = "￿"
-
 
 def read_pieces(model_file: str) -> list[tuple[str, float, bool]]:
     """(piece, score, may be used for text) by id, from a model file; needs the sentencepiece package on the driver only."""
@@ -416,6 +414,6 @@ def decode(rows: DataFrame, pieces: list[tuple[str, float, bool]], ids_col: str
     return map_arrow(rows, run, schema)
 
 
-def token_report(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
-    """doc_id, ids, n_tokens, round_trip."""
-    return encode(docs.select("doc_id", "text"), read_pieces(model_file), merges=is_merge_model(model_file)).drop("text")
+def token_report(docs: DataFrame, model_file: str = DEFAULT_MODEL, merges: bool = False) -> DataFrame:
+    """doc_id, ids, n_tokens, round_trip: the Viterbi pass over the model's scores; with ``merges`` the merges of a BPE model."""
+    return encode(docs.select("doc_id", "text"), read_pieces(model_file), merges=merges).drop("text")

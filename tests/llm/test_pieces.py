@@ -95,10 +95,46 @@ def test_ids_of_a_merge_model_are_the_models_own(vocabulary):
     assert all(codec.decode(codec.encode(t)) == t for t in ["", "▁", "▁a ▁▁ b▁", "\x00\x01￿😀﷽", "x" * 5000, " " * 5000, *texts])
 
 
-def test_report_uses_the_models_own_ids(spark):
+def plain_viterbi(text, vocabulary, byte_score, byte_id):
+    """Ids of the best sum of scores by a dynamic programme over the whole text at once; of equal sums the longest last piece."""
+    score: dict = {}
+    for i, (p, s, use) in enumerate(vocabulary):
+        if use and p and (p not in score or s > score[p][0]):
+            score[p] = (s, i)
+    whole = pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+    longest = max(map(len, score))
+    best, came, by = [0.0] * (len(whole) + 1), [0] * (len(whole) + 1), [-1] * (len(whole) + 1)
+    for i in range(1, len(whole) + 1):
+        top, back, how = best[i - 1] + byte_score, i - 1, -1
+        for n in range(min(longest, i), 0, -1):
+            if (found := score.get(whole[i - n:i])) is not None:
+                x = best[i - n] + found[0]
+                if x > top or (x == top and how < 0):
+                    top, back, how = x, i - n, found[1]
+        best[i], came[i], by[i] = top, back, how
+    out, i = [], len(whole)
+    while i:
+        out += [by[i]] if by[i] >= 0 else [byte_id[b] for b in reversed(whole[i - 1].encode())]
+        i = came[i]
+    return out[::-1]
+
+
+def test_query_gives_the_ids_of_a_plain_dynamic_programme(spark, vocabulary, codec):
+    """Whole documents, the report's own ids."""
+    rows = pieces.token_report(spark.read.parquet(f"{SF0001}/documents.parquet")).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF0001}/documents.parquet").collect()}
+    a = codec.automaton
+    some = [r for r in rows if len(texts[r.doc_id]) < 6000 and pieces.MARK not in texts[r.doc_id]]
+    assert len(some) > 100
+    for r in some[:120]:
+        assert r.ids == plain_viterbi(texts[r.doc_id], vocabulary, a.byte_score, a.byte_id)
+    assert all(r.round_trip for r in rows)
+
+
+def test_report_by_merges_gives_the_models_own_ids(spark):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
     text = "The model encodes these words by merges, not by sums of ranks."
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    assert [r.ids for r in pieces.token_report(df).collect()] == [sp.encode(text)]
+    assert [r.ids for r in pieces.token_report(df, merges=True).collect()] == [sp.encode(text)]
