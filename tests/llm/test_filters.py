@@ -116,22 +116,22 @@ def test_repeated_words():
     assert n.tolist() == [23, 0] and rep.tolist() == [20, 0]
 
 
+def _ranges(lines):
+    return {(lo, hi) for d in line_chunks.DIVISORS for lo, hi in line_chunks.chunk_bounds(lines, d) if line_chunks._worth(lines, lo, hi, 2)}
+
+
 def brute_chunks(docs):
-    """First occurrences stay; order: id (NULL last), place."""
-    chunks = {}
-    for i, t in docs:
-        lines = (t or "").encode().split(b"\n")
-        chunks[i] = [(lo, b"\n".join(lines[lo:hi]), line_chunks._worth(lines, lo, hi, 2))
-                     for lo, hi in line_chunks.chunk_bounds(lines)]
+    """Chunks of both levels in order of id (NULL last) and place; what has been seen before goes, line by line."""
     seen, out = set(), {}
-    for i, _ in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
-        kept = []
-        for _, body, worth in chunks[i]:
-            if not (worth and body in seen):
-                kept.append(body)
-            if worth:
-                seen.add(body)
-        out[i] = b"\n".join(kept).decode()
+    for i, t in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+        lines = (t or "").encode().split(b"\n")
+        gone = set()
+        for lo, hi in sorted(_ranges(lines)):
+            body = b"\n".join(lines[lo:hi])
+            if body in seen:
+                gone |= set(range(lo, hi))
+            seen.add(body)
+        out[i] = b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode()
     return out
 
 
@@ -154,7 +154,7 @@ def brute_windows(docs):
     for i, t in docs:
         lines = t.encode().split(b"\n")
         worded = [k for k, x in enumerate(lines) if x.strip()]
-        spans = {(lo, hi) for lo, hi in line_chunks.chunk_bounds(lines) if line_chunks._worth(lines, lo, hi, 2)}
+        spans = _ranges(lines)
         gone = set()
         for lo, hi in sorted(spans | {(a, b + 1) for a, b in zip(worded, worded[1:])}):
             body = b"\n".join(lines[lo:hi])
@@ -177,8 +177,8 @@ def test_line_windows_against_brute_force(spark):
     assert {x for t in got.values() for x in t.split("\n") if x.strip()} == {x for _, t in docs for x in t.split("\n") if x.strip()}
 
 
-def test_line_windows_find_short_passages(spark):
-    """Passages of 2 to 8 lines and over 50 words between foreign lines: the first copy stays, nothing of the second."""
+def _planted_passages():
+    """Passages of 2 to 8 lines and over 50 words between foreign lines, each in two documents."""
     import random
     r = random.Random(8)
     line = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(26))
@@ -189,6 +189,23 @@ def test_line_windows_find_short_passages(spark):
             own = [[line() for _ in range(r.randrange(1, 6))] for _ in range(4)]
             planted.append((len(docs) + 1, passage, own[2] + own[3]))
             docs += [(len(docs), "\n".join(own[0] + passage + own[1])), (len(docs) + 1, "\n".join(own[2] + passage + own[3]))]
+    return docs, planted
+
+
+def test_two_levels_find_more_of_short_passages(spark):
+    docs, planted = _planted_passages()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    left = {}
+    for levels in ((4,), (4, 2)):
+        got = {x.row.doc_id: x.clean_text.split("\n") for x in line_chunks.dedup_line_chunks(df, divisors=levels).collect()}
+        left[levels] = sum(x in got[i] for i, passage, _ in planted for x in passage)
+        assert all(set(own) <= set(got[i]) and got[i - 1] == docs[i - 1][1].split("\n") for i, _, own in planted)
+    assert left[(4, 2)] < 0.85 * left[(4,)] < left[(4,)] < sum(len(p) for _, p, _ in planted) == 420
+
+
+def test_line_windows_find_short_passages(spark):
+    """The first copy stays, nothing of the second."""
+    docs, planted = _planted_passages()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = {x.row.doc_id: x.clean_text.split("\n") for x in line_chunks.dedup_line_chunks(df, windows=True).collect()}
     assert sum(x in got[i] for i, passage, _ in planted for x in passage) == 0

@@ -14,6 +14,7 @@ from tests.llm.helpers import empty, odd
 from tests.llm.test_filters import brute_chunks
 from tests.llm.test_mixing import fair_targets
 from tests.llm.test_near_duplicates import brute_classes
+from tests.llm.test_pieces import plain_viterbi
 
 
 def words(text):
@@ -82,11 +83,14 @@ def test_against_plain_python(spark, stages):
     want = mixed(want)
     assert sorted(stages[3], key=key) == sorted(want, key=key)
 
-    codec = pieces.Codec(pieces.read_pieces(pieces.DEFAULT_MODEL))
+    vocabulary = pieces.read_pieces(pieces.DEFAULT_MODEL)
+    codec = pieces.Codec(vocabulary)
     assert len(stages[4]) == len(want)
     for r in stages[4]:
         ids, n, same = r[5:]
         assert same and n == len(ids) and codec.decode(ids) == r[1]
+        if len(r[1]) < 3000 and pieces.MARK not in r[1]:
+            assert ids == plain_viterbi(r[1], vocabulary, codec.automaton.byte_score, codec.automaton.byte_id)
 
 
 def test_run_is_its_stages(spark, stages):
