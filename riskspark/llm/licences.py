@@ -41,8 +41,17 @@ _NO_SIGN = r"representations|under|you|the licenses|the(?=[^\p{L}0-9\n]*(?:\n|$)
 COPYRIGHT_LINE = (r"(^|\n)[^\na-z0-9]*(copyright(?:[^\n\p{L}0-9]*(?:[0-9]|©|:|\(?c\))"
                   rf"|[^\n\p{{L}}0-9]++(?!(?:{_NO_HOLDER})(?![\p{{L}}0-9]))[\p{{L}}0-9])"
                   rf"|\(c\)[^\n\p{{L}}0-9]*+(?!(?:{_NO_SIGN})(?![\p{{L}}0-9]))[\p{{L}}0-9]|©|all rights reserved)[^\n]*")
-#: The SQL's own rule: it also takes any line of running text that begins with one of the words.
-SQL_COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9]*(copyright([^\na-z0-9]|[0-9]|c\))|\(c\)|©|all rights reserved)[^\n]*"
+# The same rule line by line for SQL, whose patterns have no look-ahead: a line goes that has a sign, or that has a word
+# after one of the starts and that word is none of running text.
+_AFTER = r"([^\p{L}0-9]|$)"
+SQL_SIGNED = r"^[^a-z0-9]*(copyright[^\p{L}0-9]*([0-9]|©|:|\(?c\))|©|all rights reserved)"
+SQL_STARTS = (
+    (r"^[^a-z0-9]*copyright[^\p{L}0-9]+",
+     r"((also|and|are|disclaimer|doctrines|if|interest|laws?|licen[cs]es?|like|line|of|on|or|ownership|patent|permission"
+     rf"|resulting|those|treaty|the (library|program|software)){_AFTER}"
+     r"|(holder|owner|notice|statement)s?( *[^\p{L}0-9 :]| +[\p{L}0-9]| *$)|the[^\p{L}0-9]*$)"),
+    (r"^[^a-z0-9]*\(c\)[^\p{L}0-9]*", rf"((representations|under|you|the licenses){_AFTER}|the[^\p{{L}}0-9]*$)"),
+)
 
 
 def spellings_for(known: dict[str, str]) -> list[tuple[str, str]]:
@@ -89,8 +98,8 @@ def scan(docs: DataFrame, known: dict[str, str] = KNOWN, text_col: str = "text")
     names = known_digests(docs.sparkSession, known)
     if known == KNOWN:
         names = names.unionByName(whole_digests(docs.sparkSession))
-    names = F.broadcast(names).withColumnRenamed("digest", "__digest")
-    return hashed.join(names, F.col("canonical_digest") == F.col("__digest"), "left").drop("__digest")
+    return hashed.alias("h").join(F.broadcast(names).alias("k"), F.col("h.canonical_digest") == F.col("k.digest"), "left") \
+                 .select("h.*", "k.license_id")
 
 
 def licence_report(docs: DataFrame) -> DataFrame:
@@ -100,15 +109,21 @@ def licence_report(docs: DataFrame) -> DataFrame:
 def oracle_sql(known: dict[str, str] = KNOWN) -> str:
     def form(x: str) -> str:
         x = f"lower(regexp_replace({x}, '\\r\\n?', chr(10), 'g'))"
-        x = f"regexp_replace({x}, '{SQL_COPYRIGHT_LINE}', '', 'g')"
+        gone = " OR ".join([f"regexp_matches(l, '{SQL_SIGNED}')",
+                            *(f"(regexp_matches(l, '{start}[\\p{{L}}0-9]') AND NOT regexp_matches(l, '{start}{word}'))"
+                              for start, word in SQL_STARTS)])
+        x = f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: NOT ({gone})), chr(10))"
         x = f"' ' || trim(regexp_replace({x}, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f‐-―‘-‟•©]+', ' ', 'g')) || ' '"
         for old, new in spellings_for(known):
             x = f"replace({x}, ' {old} ', ' {new} ')"
         return f"trim({x})"
 
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(known.items()))
+    whole = ", ".join(f"('{d}', '{name}')" for name, found in sorted(WHOLE.items()) for d in found)
+    more = f"UNION ALL SELECT * FROM (VALUES {whole}) w(digest, license_id)" if known == KNOWN else ""
     return f"""
-WITH k AS (SELECT sha256({form('t')}) AS digest, min(split_part(id, '#', 1)) AS license_id FROM (VALUES {values}) v(id, t) GROUP BY 1),
+WITH k AS (SELECT sha256({form('t')}) AS digest, min(split_part(id, '#', 1)) AS license_id FROM (VALUES {values}) v(id, t) GROUP BY 1
+           {more}),
 d AS (SELECT doc_id, {form("coalesce(text, '')")} AS f FROM documents),
 h AS (SELECT doc_id, CASE WHEN f <> '' THEN sha256(f) END AS canonical_digest FROM d)
 SELECT doc_id, canonical_digest, license_id FROM h LEFT JOIN k ON canonical_digest = digest

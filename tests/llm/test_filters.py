@@ -4,6 +4,7 @@ import os
 import re
 import textwrap
 
+import duckdb
 import pytest
 
 from riskspark.llm import licence_digests, licence_texts, licences, line_chunks, line_rules
@@ -65,21 +66,43 @@ def test_whole_licences(spark):
     assert len(found) == len(rows) and [(r.want, r.license_id, r.text[:300]) for r in found if r.license_id != r.want] == []
 
 
+STATEMENTS = ["Copyright 2020 X", "Copyright (c) 2020, X", "COPYRIGHT (C) The Regents", "Copyright © X", "(c) Jane Doe", "© 2020", " * (C) 1999 X",
+              "Copyright by Jane Doe", "Copyright Jane Doe", "Copyright The Authors. All rights reserved.", "Copyright [yyyy] [name of copyright owner]",
+              "Copyright: Jane Doe", "Copyright holder: Jane Doe", "All rights reserved.", "Copyright Émile", "# Copyright, 2001 X", "Copyright 日本"]
+RUNNING_TEXT = ["copyright notice, this list of conditions", "COPYRIGHT HOLDERS BE LIABLE", " * copyright owner or contributors", "copyright", "copyright,",
+                "copyright, patent, trademark", "copyright law. 2", "“Copyright” also means", "(c) You must retain", "(c) under Patent Claims", "copyrighted 2020 works"]
+
+
 def test_only_statements_are_copyright_lines(spark):
-    gone = ["Copyright 2020 X", "Copyright (c) 2020, X", "COPYRIGHT (C) The Regents", "Copyright © X", "(c) Jane Doe", "© 2020", " * (C) 1999 X",
-            "Copyright by Jane Doe", "Copyright Jane Doe", "Copyright The Authors. All rights reserved.", "Copyright [yyyy] [name of copyright owner]",
-            "Copyright: Jane Doe", "Copyright holder: Jane Doe", "All rights reserved.", "Copyright Émile", "# Copyright, 2001 X", "Copyright 日本"]
-    stay = ["copyright notice, this list of conditions", "COPYRIGHT HOLDERS BE LIABLE", " * copyright owner or contributors", "copyright", "copyright,",
-            "copyright, patent, trademark", "copyright law. 2", "“Copyright” also means", "(c) You must retain", "(c) under Patent Claims", "copyrighted 2020 works"]
-    df = spark.createDataFrame([(x,) for x in gone + stay], "text string")
+    df = spark.createDataFrame([(x,) for x in STATEMENTS + RUNNING_TEXT], "text string")
     form = licences.canonical(df.text)
-    assert {r.text for r in df.select("text", form.alias("f")).where("f = ''").collect()} == set(gone)
+    assert {r.text for r in df.select("text", form.alias("f")).where("f = ''").collect()} == set(STATEMENTS)
 
 
 def test_licence_scan_of_odd_rows(spark):
     assert licences.licence_report(odd(spark)).count() == 10
     assert licences.licence_report(empty(spark)).count() == 0
-    assert licences.scan(clashing(odd(spark), "license_id", "digest")).where("digest = 'theirs'").count() == 10
+    docs = clashing(odd(spark), "license_id", "digest", "__digest", "k", "h")
+    out = licences.scan(docs)
+    assert out.where("digest = 'theirs' AND __digest = 'theirs'").count() == 10
+    assert set(out.columns) == {*docs.columns, "canonical_digest"}
+
+
+def test_licence_sql_has_the_same_rule_and_the_whole_licences(spark):
+    texts = [wrapped(v, w) for v in licence_texts.KNOWN.values() for w in (56, 64, 72, 88)]
+    texts += [f"{line}\nsome words\n{line}" for line in STATEMENTS + RUNNING_TEXT]
+    texts += ["copyright notices: x\ny", "copyright notice : x\ny", "copyright the\ny", "(c) the\ny", "x (c) you\n© and\ny", ""]
+    if os.path.isdir("/usr/share/common-licenses"):
+        for name in licence_digests.SOURCES:
+            with open(f"/usr/share/common-licenses/{name}") as f:
+                texts.append(f.read())
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.execute(licences.oracle_sql()).fetchall()
+    got = [tuple(r) for r in licences.licence_report(df).select("doc_id", "canonical_digest", "license_id").collect()]
+    assert sorted(got, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
 
 
 def test_known_texts_have_their_own_digests(spark):
