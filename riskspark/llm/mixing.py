@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import cut, pack, text_or_empty
+from riskspark.llm.common import cut, text_or_empty
 
 # Fixed values of the mix: weights by turns of the sorted sources, share of all sizes, most copies of a document.
 WEIGHTS = (3, 1, 2)
@@ -65,9 +65,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     empty table gives an empty result.  Reruns agree: order and offset
     come from hashes of ids and source names."""
     size = word_count("text") if size is None else size
-    rows = pack(docs.withColumn("__mix_size", size)).select(
-        "row", F.col(f"row.`{source_col}`").alias("source"), F.col(f"row.`{id_col}`").cast("string").alias("id"),
-        F.col("row.__mix_size").alias("size"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.col(f"`{source_col}`").alias("source"),
+                       F.col(f"`{id_col}`").cast("string").alias("id"), size.alias("size"))
     rows = rows.withColumn("class", F.floor(F.sqrt(F.col("size").cast("double"))).cast("long")) \
                .withColumn("hash", F.md5(F.coalesce("id", F.lit(""))))
     slim = cut(rows.select("source", "size", "class", "hash"))
@@ -92,8 +92,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
                          & (F.col("r.class") == F.col("c.class")) & (F.col("r.cell") == F.col("c.cell")))
     place = F.col("before") + F.col("place")
     copies = F.floor(F.col("offset") + place * F.col("rate")) - F.floor(F.col("offset") + (place - 1) * F.col("rate"))
-    return joined.select(F.col("r.row").dropFields("__mix_size").alias("row"), F.col("r.size").alias("size"),
-                         "source_size", "target", copies.cast("long").alias("copies"))
+    return joined.select(F.col("r.row").alias("row"), F.col("r.size").alias("size"), "source_size", "target",
+                         copies.cast("long").alias("copies"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
