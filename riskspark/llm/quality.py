@@ -1,14 +1,16 @@
 """Operator 3: a quality classifier on supervised subword embeddings.
 
-Each word stands for hashed features: itself and its character n-grams; of word
-pairs, a word that copies the one before it has a feature.  A document is the mean of its features' learned vectors; a softmax layer over the mean gives the classes.
+Each word stands for hashed features: itself and its character n-grams; each pair
+of neighbouring words is a hashed feature, and each word's shape: which of the
+words shortly before it are the same word.  Shapes let repeats of words that were
+never learned count.  A document is the mean of its features' learned vectors; a
+softmax layer over the mean gives the classes.
 Vectors and layer are trained together by stochastic gradient descent in numpy
 on a bounded sample of labelled rows.  As the layer is linear, a trained model
-scores a document from one number per word, so scoring is one narrow pass."""
+scores a document from one number per word and word pair, so scoring is one narrow pass."""
 
 from __future__ import annotations
 
-import operator
 from collections import Counter
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.learning import Rows, WordMemory, add_scores, first_by_hash, fold, sigmoid, sparse_features, word_grams
+from riskspark.llm.textkernel import mix
 
 # Fixed values of the contract: folds of labelled rows, the fold that is held out, the threshold.
 FOLDS = 5
@@ -27,33 +30,59 @@ THRESHOLD = 0.3
 @dataclass(frozen=True)
 class QualityParams:
     """``sample_per_class`` bounds the labelled rows that are learned from (all of
-    them, if fewer); ``copy_weight`` is how many features a copied word counts as."""
+    them, if fewer); ``pair_weight`` and ``shape_weight`` are how many features a
+    word pair and a shape count as; shapes look ``reach`` words back."""
 
     sample_per_class: int = 2000
     buckets: int = 1 << 17
     dim: int = 8
     grams: tuple[int, ...] = (2, 3)
-    copy_weight: int = 10
+    pair_buckets: int = 1 << 17
+    pair_weight: int = 1
+    shape_weight: int = 4
+    reach: int = 3
     epochs: int = 12
     batch: int = 16
-    rate: float = 0.5
+    rate: float = 0.25
     seed: int = 7
 
+    @property
+    def size(self) -> int:
+        """All buckets: words and n-grams, pairs, shapes."""
+        return self.buckets + self.pair_buckets + (1 << self.reach)
 
-def copies(words: list[str]) -> int:
-    """Words that are the word before them again: a word pair's feature that all words share."""
-    return sum(map(operator.eq, words, words[1:]))
+
+def word_codes(words: list[str]) -> np.ndarray:
+    """One number below 2**31 per word, from its characters."""
+    return word_grams(words, (1 << 31) - 1)[0]
+
+
+def word_pairs(codes: np.ndarray, p: QualityParams) -> np.ndarray:
+    """The bucket of each pair of neighbours, past the buckets of words and n-grams."""
+    left, right = codes[:-1].astype(np.uint64), codes[1:].astype(np.uint64)
+    return p.buckets + (mix((left << np.uint64(31)) + right) % np.uint64(p.pair_buckets)).astype(np.int64)
+
+
+def word_shapes(codes: np.ndarray, p: QualityParams) -> np.ndarray:
+    """The bucket of each word's shape, past all others: one bit for each of the words before it that it equals."""
+    bits = np.zeros(len(codes), np.int64)
+    for back in range(1, min(p.reach, len(codes) - 1) + 1):
+        bits[back:] |= (codes[back:] == codes[:-back]).astype(np.int64) << (back - 1)
+    return p.buckets + p.pair_buckets + bits
 
 
 def text_features(text: str, p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts); the bucket past the last one counts copies."""
+    """(buckets, counts) of words, n-grams, word pairs and shapes."""
     words = text.split()
     counted = Counter(words)
+    place = dict(zip(counted, range(len(counted))))
     feats, owner = word_grams(list(counted), p.buckets, p.grams)
     times = np.fromiter(counted.values(), np.float64, len(counted))
-    ids, where = np.unique(feats, return_inverse=True)
-    counts = np.bincount(where, times[owner], len(ids)) if len(ids) else np.zeros(0)
-    return np.append(ids, p.buckets), np.append(counts, float(p.copy_weight * copies(words)))
+    codes = word_codes(list(counted))[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
+    pairs, shapes = word_pairs(codes, p), word_shapes(codes, p)
+    ids, where = np.unique(np.concatenate((feats, pairs, shapes)), return_inverse=True)
+    weights = np.concatenate((times[owner], np.full(len(pairs), float(p.pair_weight)), np.full(len(shapes), float(p.shape_weight))))
+    return ids, np.bincount(where, weights, len(ids)) if len(ids) else np.zeros(0)
 
 
 @dataclass
@@ -69,16 +98,18 @@ class QualityModel:
 
         def figures(words: list[str]) -> np.ndarray:
             feats, owner = word_grams(words, p.buckets, p.grams)
-            return np.stack((np.bincount(owner, value[feats], len(words)), np.bincount(owner, minlength=len(words))), 1)
+            return np.stack((np.bincount(owner, value[feats], len(words)), np.bincount(owner, minlength=len(words)),
+                             word_codes(words)), 1)
 
         memory = WordMemory(figures)
 
         def score(texts: list[str]) -> list[float]:
             words = [t.split() for t in texts]
             out = []
-            for ws, rows in zip(words, memory.look_up(words)):
-                again = p.copy_weight * copies(ws)
-                total, count = rows[:, 0].sum() + again * value[p.buckets], rows[:, 1].sum() + again
+            for rows in memory.look_up(words):
+                pairs, shapes = word_pairs(rows[:, 2], p), word_shapes(rows[:, 2], p)
+                total = rows[:, 0].sum() + p.pair_weight * value[pairs].sum() + p.shape_weight * value[shapes].sum()
+                count = rows[:, 1].sum() + p.pair_weight * len(pairs) + p.shape_weight * len(shapes)
                 out.append(float(sigmoid(bias + (total / count if count else 0.0))))
             return out
 
@@ -94,9 +125,9 @@ def train(rows: Rows, labels: np.ndarray, p: QualityParams, prior: float | None
     shift = float(np.log((prior or 0.5) / (1 - (prior or 0.5)))) if prior is None or 0 < prior < 1 else 0.0
     if n_pos == 0 or n_pos == n:
         only = 0.0 if n == 0 else (4.0 if n_pos else -4.0)
-        return QualityModel(p, np.zeros(p.buckets + 1, np.float32), only)
+        return QualityModel(p, np.zeros(p.size, np.float32), only)
     rng = np.random.default_rng(p.seed)
-    vec = rng.uniform(-1.0 / p.dim, 1.0 / p.dim, (p.buckets + 1, p.dim)).astype(np.float32)
+    vec = rng.uniform(-1.0 / p.dim, 1.0 / p.dim, (p.size, p.dim)).astype(np.float32)
     out, bias = np.zeros((2, p.dim), np.float32), np.zeros(2, np.float32)
     weight = np.where(labels == 1, n / (2.0 * n_pos), n / (2.0 * (n - n_pos))).astype(np.float32)
     total = np.maximum(np.add.reduceat(np.append(rows.counts, 0), rows.start[:-1]) * (np.diff(rows.start) > 0), 1.0)

@@ -32,6 +32,27 @@ def test_word_grams_depend_on_the_word_alone():
         assert len(alone) == 1 + (len(w) + 1) + len(w) + (len(w) > 4)
 
 
+def test_word_pairs_and_shapes():
+    p = quality.QualityParams()
+    codes = quality.word_codes("a b a b c c".split())
+    pairs = quality.word_pairs(codes, p)
+    assert pairs[0] == pairs[2] and len(set(pairs.tolist())) == 4
+    assert all(p.buckets <= x < p.buckets + p.pair_buckets for x in pairs)
+    assert (quality.word_shapes(codes, p) - p.buckets - p.pair_buckets).tolist() == [0, 0, 2, 2, 0, 1]
+    assert len(quality.word_pairs(codes[:1], p)) == len(quality.word_pairs(codes[:0], p)) == len(quality.word_shapes(codes[:0], p)) == 0
+
+
+def test_quality_scores_equal_the_features_dot_the_values():
+    p = quality.QualityParams(buckets=64, pair_buckets=64)
+    values = np.random.default_rng(3).normal(size=p.size).astype(np.float32)
+    texts = ["", "one", "one one", "a b a b a b", "many words that part and words that part", "x " * 50]
+    scores = quality.QualityModel(p, values, 0.3).scorer()(texts)
+    for text, score in zip(texts, scores):
+        ids, counts = quality.text_features(text, p)
+        mean = (values[ids].astype(float) @ counts) / counts.sum() if len(ids) else 0.0
+        assert abs(score - 1 / (1 + np.exp(-0.3 - mean))) < 1e-9
+
+
 def test_quality_held_out(spark):
     labels = table(spark, SF001, "labels")
     scores = quality.quality_scores(table(spark, SF001, "documents"), labels).cache()
