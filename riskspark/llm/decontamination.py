@@ -30,14 +30,21 @@ SPAN = 10
 BROADCAST_WINDOWS = 400_000
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before capitals are lower-cased.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words, whether or not capitals are lower-cased: all of ASCII but letters and digits.
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _split(text: Column) -> Column:
+    """Words of a text as they are.  Split between them: extracting them one by one takes ten times as long."""
+    inner = F.btrim(text, F.lit(SEPARATORS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SEPARATOR))
+
+
 def words(text: Column) -> Column:
     """Lower-cased words of a text; none for NULL."""
-    return F.regexp_extract_all(F.translate(text_or_empty(text), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return _split(F.translate(text_or_empty(text), UPPER, LOWER))
 
 
 def gram_length(span: int) -> int:
@@ -155,7 +162,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     key = F.unhex(F.sha2(text_or_empty("text"), 256))
     texts = rows.select(key.alias("key"), "text")
     row = F.col("row") if with_text else F.struct(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col])
-    slim = rows.select(row.alias("row"), F.regexp_count(text_or_empty("text"), F.lit(RAW_WORD)).cast("long").alias("n_words"),
+    slim = rows.select(row.alias("row"), F.size(_split(text_or_empty("text"))).cast("long").alias("n_words"),
                        key.alias("key"))
     if not lengths:
         found = texts.limit(0).select("key", F.array().cast("array<struct<at:int,span:int>>").alias("places"),

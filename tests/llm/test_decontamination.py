@@ -123,3 +123,10 @@ def test_plan_is_native(spark):
         plan = op.hit_windows(texts, windows, [10], few)._jdf.queryExecution().toString()
         assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
         assert plan.count("regexp_extract_all") < 40      # no step is worked out again inside another
+
+
+def test_words_are_those_of_the_pattern(spark):
+    texts = ["", " ", "...", "One two", "\x00One\x7f-two_3 ", "ÉCOLE İI ß\u2028x", "a\nb\r\nc\t", "日本 語!", "\U0001F600 ok", "x" * 5000 + "@" + "Y" * 5000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    for r in df.select("i", op.words(df.text).alias("w")).collect():
+        assert r.w == WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r.i] or ""))
