@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from riskspark.functions.columns import is_atomic, is_floating, is_numeric
 from riskspark.functions.exprs import IQR_FACTOR, clip, missing, peak_hour
+from riskspark.operators.formats import date_formats, parse_date
 from riskspark.operators.statistics import medians_and_quartiles, modes, quantiles, value_expr
 from riskspark.roles import Roles
 
@@ -94,7 +95,7 @@ class CleaningModel:
     constant: list[str] = field(default_factory=list)
     derive_time: bool = True
     bad_time: str = "raise"
-    date_format: str | None = None      # None: ISO dates
+    date_format: str | tuple[str, ...] | None = None      # None: ISO dates; several: the first that reads a value
     time_format: str = TIME_FORMAT
     num_minmax: dict[str, tuple] = field(default_factory=dict)
 
@@ -116,6 +117,12 @@ class CleaningModel:
 
     def _parse_date(self, x: Column, dtype: T.DataType) -> Column:
         if isinstance(dtype, T.StringType):
+            if isinstance(self.date_format, tuple):
+                found = parse_date(x, self.date_format)
+                if self.bad_time != "raise":
+                    return found
+                unread = F.raise_error(F.concat(F.lit(f"no date format of {', '.join(self.date_format)} reads "), x)).cast("date")
+                return F.when(x.isNotNull() & found.isNull(), unread).otherwise(found)
             args = [x] if self.date_format is None else [x, self.date_format]
             return F.to_date(*args) if self.bad_time == "raise" else F.try_to_date(*args)
         if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
@@ -191,12 +198,19 @@ def fit_cleaning(df: DataFrame, roles: Roles, iqr_factor: float = IQR_FACTOR,
                  parts: tuple[str, ...] = ("fill", "clip")) -> CleaningModel:
     """Fit the cleaning statistics on ``df`` (pass the training part to fit on train only).
 
+    ``date_format``: a pattern, None for ISO dates, ``"infer"`` for the one known format that reads every date of ``df``
+    (a ``ValueError`` if none does; with ``bad_time='null'`` the one that reads most), or ``"mixed"`` for the first
+    known format that reads each value (``operators.formats``; a pass over the date column).
     ``parts``: what the caller will use; statistics of other parts are not worked out."""
     fields = [f for f in df.schema.fields if is_atomic(f.dataType) and f.name not in set(roles.passthrough)]
     types = {f.name: f.dataType for f in fields}
     numeric = [f.name for f in fields if is_numeric(f.dataType)]
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
 
+    if date_format in ("infer", "mixed"):
+        is_text = derive_time and isinstance(types.get(roles.date), T.StringType)
+        date_format = date_formats(df, roles.date, date_format == "mixed", bad_time == "raise") if is_text else None
+
     # 1. one profiling pass
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):

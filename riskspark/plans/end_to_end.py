@@ -19,7 +19,10 @@ def run(spark: SparkSession, csv_path: str, out_dir: str, roles: Roles = Roles()
         partitions: int | None = None, multi_line: bool = False, **prepare_options) -> list[str]:
     """Write one table per report under ``out_dir`` and return their paths.
 
-    Without a ``schema`` column types are inferred; ``prepare_options`` are those of ``analyses.prepare``."""
+    Without a ``schema`` column types are inferred; ``prepare_options`` are those of ``analyses.prepare``.  Without a
+    ``date_format`` the one that reads every date is found."""
+    if prepare_options.get("clean", True):
+        prepare_options.setdefault("date_format", "infer")
     raw = read_csv(spark, csv_path, schema=schema, roles=roles, infer=schema is None, multi_line=multi_line)
     reports: dict[str, DataFrame] = {
         "column_profile": profile.column_profile(raw, with_total=True),

@@ -3,6 +3,7 @@ CSV records in parallel, rejected rows, bracketed quantiles, heavy hitters, dige
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -10,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions.exprs import round_half_up, sql_round_half_up
-from riskspark.operators import chartdata, dictionary, features, models, profile, statistics
-from riskspark.operators.clean import bounds_frame, bounds_of
+from riskspark.operators import chartdata, dictionary, features, formats, models, profile, statistics
+from riskspark.operators.clean import bounds_frame, bounds_of, fit_cleaning
+from riskspark.roles import Roles
 from riskspark.session import shared_dir
 from riskspark.sources.readers import NA_TOKENS, read_csv
 from riskspark.sources.records import read_csv_keeping_rejects
-from riskspark.sources.tables import ACCIDENT_SQL, accident_frame, table
+from riskspark.sources.tables import ACCIDENT_ROLES, ACCIDENT_SQL, accident_frame, table
 
 KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 NUMERIC = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -111,6 +113,101 @@ SELECT CASE WHEN reason IS NULL THEN 'kept' ELSE 'rejected' END AS kind, reason,
        CASE WHEN reason IS NULL THEN note END AS note, CASE WHEN reason IS NULL THEN cents END AS cents FROM r"""
 
 
+# ---- S1, L8: types and formats -------------------------------------------------------
+
+_STAMPED = ["event_id", "ts", "event_type", "value"]
+
+
+def q_column_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Types and formats of text columns: dates written in four ways (in one of them month and day are both at most 12),
+    two ways mixed, timestamps, truth values, numbers, and whole numbers but for a word in every 1009th row."""
+    i, ts = F.col("event_id"), F.col("ts")
+    us = F.date_format(ts, "M/d/yyyy")
+    events = table(spark, sf, "events", _STAMPED).select(
+        F.date_format(ts, "yyyy-MM-dd").alias("iso"), us.alias("us"), F.date_format(ts, "d.M.yyyy").alias("dotted"),
+        F.when(F.dayofmonth(ts) <= 12, us).alias("either"), F.when(i % 3 == 0, us).otherwise(F.date_format(ts, "yyyy/MM/dd")).alias("two_ways"),
+        F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("stamp"), F.date_format(ts, "H:mm:ss").alias("clock"),
+        F.when(i % 2 == 0, "True").when(i % 3 == 0, "False").alias("truth"), i.cast("string").alias("id"),
+        F.when(i % 17 != 0, F.col("value").cast("decimal(18,4)").cast("string")).alias("value"),
+        F.when(i % 1009 == 0, "many").otherwise(i.cast("string")).alias("spoilt"), F.lit(None).cast("string").alias("nothing"),
+        F.col("event_type"))
+    return formats.formats_frame(spark, formats.column_formats(events))
+
+
+def _sql_column_formats() -> str:
+    """Each candidate's count by DuckDB's own parser, and the same choice among them."""
+    codes = {"yyyy": "%Y", "MMM": "%b", "M": "%m", "d": "%d", "H": "%H", "m": "%M", "s": "%S", "'": ""}
+
+    def strptime(fmt: str) -> str:
+        return re.sub("yyyy|MMM|[MdHms']", lambda m: codes[m.group()], fmt)
+
+    truth = ", ".join(f"'{t}'" for t in formats.TRUTH)
+    reads = [("boolean", "boolean", f"x IN ({truth})"),
+             ("bigint", "bigint", "regexp_full_match(x, '[+-]?[0-9]+') AND TRY_CAST(x AS BIGINT) IS NOT NULL"),
+             ("double", "double", "regexp_full_match(x, '[+-]?[0-9]*[.]?[0-9]+') AND TRY_CAST(x AS DOUBLE) IS NOT NULL")]
+    for kind, fs in zip(formats.KINDS[3:], (formats.DATES, formats.STAMPS, formats.TIMES)):
+        reads += [(kind, f, f"try_strptime(x, '{strptime(f)}') IS NOT NULL") for f in fs]
+    quoted = [(k, f.replace("'", "''"), test) for k, f, test in reads]
+    counted = "\nUNION ALL ".join(
+        f"SELECT column_name, {p} AS place, '{k}' AS kind, '{f}' AS name, count(x) AS n, count(*) FILTER ({test}) AS c FROM l GROUP BY column_name"
+        for p, (k, f, test) in enumerate(quoted))
+    us = "month(ts) || '/' || day(ts) || '/' || year(ts)"
+    columns = {"iso": "strftime(ts, '%Y-%m-%d')", "us": us, "dotted": "day(ts) || '.' || month(ts) || '.' || year(ts)",
+               "either": f"CASE WHEN day(ts) <= 12 THEN {us} END", "two_ways": f"CASE WHEN event_id % 3 = 0 THEN {us} ELSE strftime(ts, '%Y/%m/%d') END",
+               "stamp": "strftime(ts, '%Y-%m-%d %H:%M:%S')", "clock": "hour(ts) || strftime(ts, ':%M:%S')",
+               "truth": "CASE WHEN event_id % 2 = 0 THEN 'True' WHEN event_id % 3 = 0 THEN 'False' END", "id": "CAST(event_id AS VARCHAR)",
+               "value": "CASE WHEN event_id % 17 <> 0 THEN CAST(CAST(value AS DECIMAL(18,4)) AS VARCHAR) END",
+               "spoilt": "CASE WHEN event_id % 1009 = 0 THEN 'many' ELSE CAST(event_id AS VARCHAR) END", "nothing": "CAST(NULL AS VARCHAR)",
+               "event_type": "event_type"}
+    rows = "\nUNION ALL ".join(f"SELECT '{c}' AS column_name, {x} AS x FROM events" for c, x in columns.items())
+    return f"""WITH l AS ({rows}),
+c AS ({counted}),
+k AS (SELECT column_name, max(n) AS n, arg_min(kind, place) FILTER (c = n) AS whole, arg_min(name, place) FILTER (c = n) AS name,
+             max(c) AS most FROM c GROUP BY column_name),
+t AS (SELECT c.column_name, string_agg(c.name, ' | ' ORDER BY place) AS ties FROM c JOIN k USING (column_name)
+      WHERE c.c = c.n AND c.n > 0 AND c.kind = k.whole AND c.name <> k.name GROUP BY c.column_name),
+m AS (SELECT column_name, arg_min(c.name, place) AS nearest FROM c JOIN k USING (column_name) WHERE c.c = k.most AND most > 0 GROUP BY column_name)
+SELECT column_name, n AS n_values, CASE WHEN n = 0 THEN 'double' ELSE coalesce(whole, 'string') END AS kind,
+       CASE WHEN n > 0 AND whole NOT IN ('boolean', 'bigint', 'double') THEN k.name END AS format, ties, nearest, most AS n_nearest
+FROM k LEFT JOIN t USING (column_name) LEFT JOIN m USING (column_name)"""
+
+
+SQL_COLUMN_FORMATS = _sql_column_formats()
+
+
+def q_csv_inferred(spark: SparkSession, sf: str) -> DataFrame:
+    """Types found in a CSV file, its dates and timestamps included, and what its rows hold by type."""
+    ts = F.col("ts")
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf, "events", _STAMPED).select(
+        F.col("event_id").alias("id"), F.date_format(ts, "d.M.yyyy").alias("day"), F.date_format(ts, "M/d/yyyy H:mm:ss").alias("at"),
+        F.when(F.col("event_id") % 7 != 0, F.initcap((F.col("event_id") % 2 == 0).cast("string"))).alias("even"),
+        F.col("event_type").alias("kind")).write.option("header", True).csv(folder)
+    read = read_csv(spark, folder, roles=Roles(id="id", label="kind", date=None, time=None), infer=True, infer_dates=True)
+    return read.select("id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "even", "kind",
+                       F.lit(" ".join(t for _, t in read.dtypes)).alias("types"))
+
+
+SQL_CSV_INFERRED = """
+SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at,
+       CASE WHEN event_id % 7 <> 0 THEN event_id % 2 = 0 END AS even, event_type AS kind,
+       'bigint date timestamp_ntz boolean string' AS types FROM events"""
+
+
+def q_mixed_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaning of a date column written in three ways, none of them stated."""
+    day = F.to_date("day")
+    acc = accident_frame(spark, sf).select(
+        "id", "sev", F.when(F.col("id") % 3 == 0, F.date_format(day, "M/d/yyyy")).when(F.col("id") % 3 == 1, F.date_format(day, "d.M.yyyy"))
+        .otherwise(F.col("day")).alias("day"), "time")
+    model = fit_cleaning(acc, ACCIDENT_ROLES, parts=(), date_format="mixed")
+    return model.transform(acc).select("id", F.date_format("day", "yyyy-MM-dd").alias("day"), "month", "hour")
+
+
+SQL_MIXED_DATES = f"""WITH {ACCIDENT_SQL}
+SELECT id, day, CAST(substr(day, 6, 2) AS INTEGER) AS month, CAST(substr(time, 1, 2) AS INTEGER) AS hour FROM accident"""
+
+
 # ---- L3 to L5, P2: selection, heavy hitters, digests -------------------------------
 
 def q_iqr_bounds_bracketed(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,6 +305,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dictionary_encoded": q_dictionary_encoded,
     "csv_multi_line": q_csv_multi_line,
     "csv_rejected": q_csv_rejected,
+    "column_formats": q_column_formats,
+    "csv_inferred": q_csv_inferred,
+    "mixed_dates": q_mixed_dates,
     "iqr_bounds_bracketed": q_iqr_bounds_bracketed,
     "frequent_modes": q_frequent_modes,
     "duplicate_rows_by_digest": q_duplicate_rows_by_digest,
@@ -220,6 +320,9 @@ ORACLE_SQL: dict[str, str] = {
     "dictionary_encoded": SQL_DICTIONARY_ENCODED,
     "csv_multi_line": SQL_CSV_MULTI_LINE,
     "csv_rejected": SQL_CSV_REJECTED,
+    "column_formats": SQL_COLUMN_FORMATS,
+    "csv_inferred": SQL_CSV_INFERRED,
+    "mixed_dates": SQL_MIXED_DATES,
     "iqr_bounds_bracketed": SQL_IQR_BOUNDS_BRACKETED,
     "frequent_modes": SQL_FREQUENT_MODES,
     "duplicate_rows_by_digest": SQL_DUPLICATE_ROWS_BY_DIGEST,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskspark.operators.formats import ColumnFormat, column_formats, parse
 from riskspark.roles import Roles
 from riskspark.sources.records import read_records
 
@@ -21,18 +22,24 @@ class SourceError(RuntimeError):
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
              "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+#: The column types of the kinds that inference finds (times of day stay text).
+INFERRED = {"boolean": T.BooleanType(), "bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType(),
+            "timestamp": T.TimestampNTZType(), "string": T.StringType()}
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              roles: Roles = Roles(), infer: bool = False, mode: str = "FAILFAST",
-             multi_line: bool = False, na_tokens: tuple[str, ...] = NA_TOKENS, probe: bool = False) -> DataFrame:
+             multi_line: bool = False, na_tokens: tuple[str, ...] = NA_TOKENS, probe: bool = False,
+             infer_dates: bool = False) -> DataFrame:
     """Read a CSV file or folder with a header line, as its users have it.
 
     Every field is read as text, columns by the header's names; quotes
     inside quoted fields are doubled; ``multi_line`` allows line ends inside them (a file is
     still many tasks: ``records.csv_records``).  Missing-value texts become NULL, and only then are columns
     typed: by ``schema`` (matched by name, extra file columns are left out), or with
-    ``infer=True`` as whole numbers, numbers or text by one pass over all rows; with neither every
-    column stays text.  The date and time roles stay text; they are parsed later with explicit formats.
+    ``infer=True`` as truth values, whole numbers, numbers or text by one pass over all rows, with ``infer_dates`` also as
+    dates and timestamps where one known format reads every value (``operators.formats``); with neither every
+    column stays text.  The date and time roles stay text; cleaning parses them.
 
     ``mode='FAILFAST'`` makes malformed rows and values that don't fit their type fail, others
     give NULL.  A path that can't be read or a missing column is a ``SourceError`` now; bad rows
@@ -55,7 +62,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
             raise SourceError(f"{path} has no columns {absent}")
         kinds = {f.name: f.dataType for f in wanted.fields}
     elif infer:
-        kinds = _inferred(raw, keep_text)
+        found = _inferred(raw, keep_text, infer_dates)
+        raw = raw.select(*[(parse(F.col(f"`{c}`"), f.format) if f.format else F.col(f"`{c}`")).alias(c) for c, f in found.items()])
+        kinds = {c: INFERRED[f.kind] for c, f in found.items()}
     else:
         kinds = {c: T.StringType() for c in raw.columns}
     out = raw.select(*[_typed(c, T.StringType() if c in keep_text else t, mode).alias(c) for c, t in kinds.items()])
@@ -90,24 +99,11 @@ def _typed(name: str, kind: T.DataType, mode: str) -> Column:
     return c.try_cast(kind)
 
 
-def _inferred(raw: DataFrame, keep_text: set[str]) -> dict[str, T.DataType]:
-    """Whole numbers if all values are, else numbers if all are, else text; one aggregate over all rows."""
-    if not raw.columns:
-        return {}
-    aggs = []
-    for i, c in enumerate(raw.columns):
-        x = F.col(f"`{c}`")
-        aggs += [F.count(x).alias(f"n{i}"), F.count(x.try_cast("bigint")).alias(f"i{i}"),
-                 F.count(x.try_cast("double")).alias(f"d{i}"), F.count(F.when(x.contains("."), x)).alias(f"p{i}")]
-    row = raw.agg(*aggs).first()
-    out: dict[str, T.DataType] = {}
-    for i, c in enumerate(raw.columns):
-        n = row[f"n{i}"]
-        if c in keep_text or row[f"d{i}"] < n:
-            out[c] = T.StringType()
-        else:
-            out[c] = T.LongType() if n and row[f"i{i}"] == n and not row[f"p{i}"] else T.DoubleType()
-    return out
+def _inferred(raw: DataFrame, keep_text: set[str], dates: bool) -> dict[str, ColumnFormat]:
+    """Each column's type from one pass over all rows; those of ``keep_text``, and times of day, stay text."""
+    found = column_formats(raw, [c for c in raw.columns if c not in keep_text], dates)
+    text = ColumnFormat(0, "string", None, (), {})
+    return {c: text if found.get(c, text).kind == "time" else found.get(c, text) for c in raw.columns}
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
