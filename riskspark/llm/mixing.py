@@ -5,11 +5,12 @@ a document come from a running sum of expected copies within its source and
 one offset per source: a document is emitted once for each integer that the
 running sum, moved by the offset, crosses at it.
 
-The running sum is taken in two levels, so no source ends in one task: documents
+The running sum is taken in three levels, so neither a source nor a size class ends in one task: documents
 fall into cells (source, size class, hash slice); cells hold about the square
-root of the number of rows, and only cell counts are summed per source.  The
-documents of a source are ordered by size class and hash, so that the sizes of
-what is taken follow those of the source."""
+root of the number of rows, only cell counts are summed per source and size class, and only class
+counts per source.  The documents of a source are ordered by size class and hash, so that the sizes of
+what is taken follow those of the source.  Rows without an id all have one hash; they fall into cells of their own, by size
+and by a hash of the whole row."""
 
 from __future__ import annotations
 
@@ -53,6 +54,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("source", "source_size", target.alias("target"))
 
 
+def _cell_keys(slices: int) -> dict[str, Column]:
+    """Columns that name a row's cell within its source and size class, in the order of the running sum.
+
+    Rows with an id fall into slices of their hash.  Rows without one (those with a ``tie``) lie between the ids whose hash
+    is less and the others; they are parted by size, as they are ordered, and then by the tie, into about as many cells
+    as a class has slices."""
+    no_id = F.col("tie").isNotNull()
+    parts = F.greatest(F.lit(1), F.floor(F.lit(slices) / (2 * F.col("class") + 1))).cast("long")
+    return {"cell": (F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * F.lit(slices) / F.lit(2.0 ** 32)).cast("long"),
+            "side": F.when(no_id, 1).when(F.col("hash") < F.md5(F.lit("")), 0).otherwise(2),
+            "no_id_size": F.when(no_id, F.col("size")).otherwise(-1).cast("long"),
+            "part": F.when(no_id, F.pmod("tie", parts)).otherwise(0).cast("long")}
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None,
                 weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
                 seed: str = SEED) -> DataFrame:
@@ -62,34 +77,43 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     A NULL source is a source of its own (sorted last); a NULL id or text is
     allowed (size 0); rows equal in id, source and size are alike, so that
     exchanging them changes nothing; a source without words has target 0; an
-    empty table gives an empty result.  Reruns agree: order and offset
+    empty table gives an empty result.  NULL ids by the third of a table are parted by a hash of the whole
+    row (rows that are equal in every column stay together).  Reruns agree: order and offset
     come from hashes of ids and source names."""
     size = word_count("text") if size is None else size
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(whole.alias("row"), F.col(f"`{source_col}`").alias("source"),
                        F.col(f"`{id_col}`").cast("string").alias("id"), size.alias("size"))
+    hashed = [F.col(f"row.`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
     rows = rows.withColumn("class", F.floor(F.sqrt(F.col("size").cast("double"))).cast("long")) \
-               .withColumn("hash", F.md5(F.coalesce("id", F.lit(""))))
-    slim = cut(rows.select("source", "size", "class", "hash"))
-    slices = max(1, math.isqrt(slim.count()))
-    cell = (F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * F.lit(slices) / F.lit(2.0 ** 32)).cast("long")
-
-    cells = slim.withColumn("cell", cell).groupBy("source", "class", "cell").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("source").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+               .withColumn("hash", F.md5(F.coalesce("id", F.lit("")))) \
+               .withColumn("tie", F.when(F.col("id").isNull(), F.xxhash64(*hashed)))
+    slim = cut(rows.select("source", "size", "class", "hash", "tie"))
+    keys = _cell_keys(max(1, math.isqrt(slim.count())))
+
+    cells = slim.withColumns(keys).groupBy("source", "class", *keys).agg(F.count(F.lit(1)).alias("n"))
+    classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n"))
+    below = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0))).alias("k")
     name = F.concat(F.lit(seed + "|"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     offset = (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(2.0 ** 32)
     targets = source_targets(slim, weights, share, most).withColumn("offset", offset).withColumn(
-        "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    c, t = cells.alias("c"), targets.alias("t")
-    cells = c.join(t, F.col("c.source").eqNullSafe(F.col("t.source"))).select(
-        "c.source", "class", "cell", "before", "source_size", "target", "offset", "rate")
+        "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("t")
+    classes = classes.join(targets, F.col("k.source").eqNullSafe(F.col("t.source"))).select(
+        "k.source", "k.class", "below", "source_size", "target", "offset", "rate").alias("k")
+
+    before = Window.partitionBy("source", "class").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    c = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).alias("c")
+    cells = c.join(classes, F.col("c.source").eqNullSafe(F.col("k.source")) & (F.col("c.class") == F.col("k.class"))).select(
+        "c.source", "c.class", *keys, (F.col("below") + F.col("before")).alias("before"), "source_size", "target", "offset", "rate")
 
-    inner = Window.partitionBy("source", "class", "cell").orderBy("hash", F.col("id").asc_nulls_first(), "size")
-    ranked = rows.withColumn("cell", cell).withColumn("place", F.row_number().over(inner)).alias("r")
+    inner = Window.partitionBy("source", "class", *keys).orderBy("hash", F.col("id").asc_nulls_first(), "size")
+    ranked = rows.withColumns(keys).withColumn("place", F.row_number().over(inner)).alias("r")
     c = cells.alias("c")
-    joined = ranked.join(c, F.col("r.source").eqNullSafe(F.col("c.source"))
-                         & (F.col("r.class") == F.col("c.class")) & (F.col("r.cell") == F.col("c.cell")))
+    same = F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.class") == F.col("c.class"))
+    for k in keys:
+        same &= F.col(f"r.{k}") == F.col(f"c.{k}")
+    joined = ranked.join(c, same)
     place = F.col("before") + F.col("place")
     copies = F.floor(F.col("offset") + place * F.col("rate")) - F.floor(F.col("offset") + (place - 1) * F.col("rate"))
     return joined.select(F.col("r.row").alias("row"), F.col("r.size").alias("size"), "source_size", "target",
