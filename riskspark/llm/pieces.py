@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import deque
+from collections import ChainMap, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,8 +37,10 @@ BYTE_PIECE = re.compile(r"^<0x([0-9A-F]{2})>$")
 #: What a character in bytes costs, below the worst piece.
 BYTE_PENALTY = 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Units remembered by a worker; beyond that the memory starts anew (results don't depend on it).
-MEMORY_UNITS = 400_000
+#: Units of at most LONG_UNIT characters remembered by a worker; beyond that the memory starts anew (results don't depend on it).
+MEMORY_UNITS = 100_000
+#: Characters whose units are looked up at once; longer texts are taken in parts of about that length.
+PART_CHARS = 200_000
 #: Pairs of pieces remembered by a worker, likewise.
 MEMORY_PAIRS = 400_000
 #: Characters with a complete transition table (those of most pieces), the longest unit and the number of units taken in step.
@@ -299,6 +301,17 @@ class Automaton:
 #: Stands for a literal mark among the units (no unit is empty).
 _LITERAL = ""
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: A space that begins a unit, so that a text may be parted before it.
+_SEAM = re.compile("(?<=[^ ]) ")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text with the space that stands in front of it, in parts that hold whole units."""
+    text, lo = " " + text, 0
+    while len(text) - lo > PART_CHARS and (seam := _SEAM.search(text, lo + PART_CHARS)):
+        yield text[lo:seam.start()]
+        lo = seam.start()
+    yield text[lo:]
 
 
 class Codec:
@@ -314,27 +327,43 @@ class Codec:
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as int32; NULL and the empty text have none.  Literal
         marks part a text, and each is written in bytes."""
-        known = self.known
-        units: list[list[str]] = []
-        for text in texts:
-            if not text:
-                units.append([])
-            elif MARK in text:
-                parts = re.split(f"({MARK})", " " + text)       # the marks stand at odd places
-                units.append([u for i, part in enumerate(parts)
-                              for u in ([_LITERAL] if i % 2 else _UNIT.findall(part.replace(" ", MARK)))])
-            else:
-                units.append(_UNIT.findall((MARK + text.replace(" ", MARK))))
-        new = list({u for us in units for u in us if u not in known})
-        found = known
+        bodies: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, list[str]]] = []
+        chars = 0
+        for k, text in enumerate(texts):
+            for part in _parts(text) if text else ():
+                if chars + len(part) > PART_CHARS and group:
+                    self._encode_group(group, bodies)
+                    group, chars = [], 0
+                chars += len(part)
+                group.append((k, self._units(part)))
+        if group:
+            self._encode_group(group, bodies)
+        return [np.frombuffer(b"".join(x), dtype=np.int32) for x in bodies]
+
+    @staticmethod
+    def _units(part: str) -> list[str]:
+        if MARK not in part:
+            return _UNIT.findall(part.replace(" ", MARK))
+        between = re.split(f"({MARK})", part)                   # the marks stand at odd places
+        return [u for i, x in enumerate(between) for u in ([_LITERAL] if i % 2 else _UNIT.findall(x.replace(" ", MARK)))]
+
+    def _encode_group(self, group: list[tuple[int, list[str]]], bodies: list[list[bytes]]) -> None:
+        """Append the ids of the units to the bodies of their texts."""
+        new = list({u for _, us in group for u in us if u not in self.known})
+        found = self.known
         if new:
-            if len(known) + len(new) > MEMORY_UNITS:        # keep what these texts use
-                known = {u: known[u] for us in units for u in us if u in known}
-            known.update(zip(new, self._encode_units(new)))
-            found = known
-            known[_LITERAL] = self.literal
-            self.known = known if len(known) <= MEMORY_UNITS else {_LITERAL: self.literal}
-        return [np.frombuffer(b"".join([found[u] for u in us]), dtype=np.int32) for us in units]
+            made = dict(zip(new, self._encode_units(new)))
+            short = {u: x for u, x in made.items() if len(u) <= LONG_UNIT}
+            if len(found) + len(short) > MEMORY_UNITS:          # keep what these texts use
+                found = {u: found[u] for _, us in group for u in us if u in found}
+                found[_LITERAL] = self.literal
+            found.update(short)
+            self.known = found if len(found) <= MEMORY_UNITS else {_LITERAL: self.literal}
+            if len(short) < len(made):                          # long units are for this group alone
+                found = ChainMap(made, found)
+        for k, us in group:
+            bodies[k].append(b"".join([found[u] for u in us]))
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
         if self.merges:
