@@ -2,12 +2,15 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from riskspark.llm.repeats import RepeatParams, remove_repeats, repeat_report
+from riskspark.llm import repeats
+from riskspark.llm.repeats import RepeatParams, anchors, covered, remove_repeats, repeat_report
 from riskspark.llm.suffix_array import longest_common, suffix_array
+from riskspark.llm.textkernel import gram_hashes, prefix_hash, range_hash
 from tests.llm.helpers import clashing, empty, odd
 
 
@@ -81,3 +84,51 @@ def test_odd_rows(spark):
     assert repeat_report(empty(spark)).count() == 0
     extra = remove_repeats(clashing(odd(spark), "node", "body", "ranges", "n_bytes", "row"))
     assert {r.row["n_bytes"] for r in extra.collect()} == {"theirs"}
+
+
+def test_anchors_against_every_window():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        off = np.concatenate(([0], np.cumsum(r.integers(0, 60, r.integers(1, 6)))))
+        data = r.integers(97, 97 + r.integers(1, 9), off[-1]).astype(np.uint8)
+        length = int(r.integers(3, 30))
+        p = RepeatParams(length=length, gram=int(r.integers(1, length + 1)))
+        want = {}
+        if len(data) >= p.gram:
+            at = np.arange(len(data) - p.gram + 1)
+            hashes = gram_hashes(data, p.gram)
+            assert (hashes == range_hash(prefix_hash(data), at, at + p.gram)).all()
+            for t, (a, b) in enumerate(zip(off, off[1:])):
+                for i in range(a, b - length + 1):
+                    k = min(range(i, i + p.reach + 1), key=lambda j: (hashes[j] >> np.uint64(28), j))
+                    want[k] = (t, k, hashes[k])
+        assert list(zip(*anchors(data, off, p))) == [want[k] for k in sorted(want)]
+
+
+def test_contexts_are_cut_on_their_own_way_only(monkeypatch):
+    """A pair that parts from the rest at once gets no cut where other pairs part."""
+    r = random.Random(2)
+    noise = lambda n: bytes(r.randrange(256) for _ in range(n))
+    gram, contexts, want = noise(100), [], []
+    for k in range(40):
+        before, behind = noise(200 + k), noise(150 + 2 * k)
+        for side in (b"\0", b"\1"):
+            body = noise(30) + side + before + gram + behind + side + noise(30)
+            contexts.append((231 + k, body, noise(16), 0))
+            want.append([(31, 31 + 450 + 3 * k)])
+    symbols = []
+    monkeypatch.setattr(repeats, "suffix_array", lambda text: symbols.append(len(text)) or suffix_array(text))
+    assert covered(contexts, 400) == want
+    assert sum(symbols) < 12 * len(contexts)
+
+
+def test_small_groups_are_dealt_out_without_large_ones(spark):
+    rows = spark.createDataFrame([("large", 1, i) for i in range(9)] + [("small", 1, i) for i in range(3)]
+                                 + [("one", 1, 0), *(("copies", 2, i) for i in range(2))], "name string, n long, place long")
+    rows = rows.selectExpr("cast(name as binary) as core", "n", "cast('t' as binary) as node", "place", "0 as left", "core as body")
+    sized = repeats._sized(rows)
+    assert {(bytes(x.core).decode(), x.members) for x in sized.collect()} == {("large", 9), ("small", 3)}
+    small, large = repeats._groups(sized, 4)
+    assert [sorted(m.place for m in x.members) for x in small.collect()] == [[0, 1, 2]]
+    assert large.count() == 9
+    assert "Join" not in small._jdf.queryExecution().executedPlan().toString()
